@@ -269,11 +269,11 @@ model AS (
 """
 
 ORACLES["train_weights"] = f"""
-WITH {_CATALOG}, {_MODEL} SELECT label_kind, word, class, round(weight, 4) AS weight FROM weights
+WITH {_CATALOG}, {_MODEL} SELECT label_kind, word, class, CAST(weight AS FLOAT) AS weight FROM weights
 """
 
 ORACLES["train_probs"] = f"""
-WITH {_CATALOG}, {_MODEL} SELECT label_kind, word, class, round(p, 6) AS p FROM model
+WITH {_CATALOG}, {_MODEL} SELECT label_kind, word, class, CAST(p AS FLOAT) AS p FROM model
 """
 
 
@@ -304,7 +304,7 @@ _SPOKEN = "spoken AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS inp
 for _kind in ("genre", "nationality"):
     ORACLES[f"predict_{_kind}"] = f"""
 WITH {_CATALOG}, {_MODEL}, {_SPOKEN}, {_predictions("spoken")}
-SELECT input, pos, class, round(p, 6) AS p, pct FROM kept WHERE label_kind = '{_kind}'
+SELECT input, pos, class, CAST(p AS FLOAT) AS p, pct FROM kept WHERE label_kind = '{_kind}'
 """
 
 ORACLES["accuracy"] = f"""
@@ -424,7 +424,7 @@ films AS (
     CASE WHEN mark % 17 = 0 THEN '' ELSE 'Line ' || line_no END AS synopsis,
     '<div class="ovw-synopsis-info"><br/>' || source || '</div>' AS misc,
     CASE WHEN mark % 3 = 0 THEN ''
-      ELSE 'http://' || '/media/x_' || CASE WHEN mark % 2 = 1 THEN 'hd' ELSE 'sd' END || '_' || movie_id || '.mp4'
+      ELSE 'http://media/x_' || CASE WHEN mark % 2 = 1 THEN 'hd' ELSE 'sd' END || '_' || movie_id || '.mp4'
       END AS trailer,
     CAST((doc_id * 7) % 1000000 + line_no AS FLOAT) AS rank, mark
   FROM lines)
@@ -469,7 +469,7 @@ SELECT input, pos, title, local_cover AS cover, director || ' (' || date || ')'
 _JSON_DETAIL = """
 to_json({'actors': actors, 'cover': local_cover, 'date': date, 'director': director, 'genre': genre,
   'hours': hours, 'minutes': minutes, 'misc': misc, 'nationalities': nationalities, 'pictures': pictures,
-  'reviews_viewers': reviews_viewers, 'score_viewers': score_viewers, 'status': status,
+  'reviews_viewers': reviews_viewers, 'score_viewers': CAST(CAST(score_viewers AS VARCHAR) AS DOUBLE), 'status': status,
   'synopsis': synopsis, 'title': title, 'trailer': trailer})
 """
 

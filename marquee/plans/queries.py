@@ -186,20 +186,20 @@ def search_saved_index(spark, d):
 @query
 def train_weights(spark, d):
     weights = predict.train_weights(_catalog(spark, d))
-    return weights.withColumn("weight", F.round("weight", 4))
+    return weights.withColumn("weight", F.col("weight").cast("float"))
 
 
 @query
 def train_probs(spark, d):
     model = predict.train(_catalog(spark, d))
-    return model.select("label_kind", "word", "class", F.round("p", 6).alias("p"))
+    return model.select("label_kind", "word", "class", F.col("p").cast("float").alias("p"))
 
 
 def _predictions(spark, d, kind):
     asked = views.lines_as_requests(table(spark, d, "conversations"))
     found = predict.predict(asked, predict.train(_catalog(spark, d)))
     return found.filter(F.col("label_kind") == kind).select(
-        "input", "pos", "class", F.round("p", 6).alias("p"), "pct"
+        "input", "pos", "class", F.col("p").cast("float").alias("p"), "pct"
     )
 
 
