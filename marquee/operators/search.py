@@ -6,6 +6,7 @@ equi-join; no title is ever compared with a request by a nested loop.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -20,6 +21,9 @@ from marquee.operators.variants import EDITS_PER_POSITION, variants
 
 #: Largest estimated size of a set of variants, or of answers, that is broadcast.
 BROADCAST_BYTES = 256 * 1024 * 1024
+#: A larger set of variants is cut into parts, each with its own pass over the titles. Reading
+#: titles again is cheaper than shuffling all their substrings, up to this many times.
+MOST_PASSES = 16
 _ROW_OVERHEAD = 64
 
 
@@ -33,8 +37,8 @@ class BatchSize:
     variant_bytes: float
 
     @property
-    def variants_fit(self) -> bool:
-        return self.variant_bytes <= BROADCAST_BYTES
+    def passes(self) -> int:
+        return max(1, math.ceil(self.variant_bytes / BROADCAST_BYTES))
 
     def answers_fit(self, results: int) -> bool:
         return self.texts * results * (self.longest * 4 + _ROW_OVERHEAD) <= BROADCAST_BYTES
@@ -87,8 +91,8 @@ def candidates(
         if "length" in postings.columns:
             found = postings.filter(F.col("length").isin(size.lengths))
         found = found.select("ngram", "movie_id", "rank")
-    elif size.variants_fit:
-        found = probe_postings(catalog, wanted.select("ngram").distinct(), size.lengths, max_res)
+    elif size.passes <= MOST_PASSES:
+        found = _probe_in_passes(catalog, wanted.select("ngram").distinct(), size, max_res)
     else:
         found = build_postings(catalog, size.lengths, top_k=max_res)
     hits = (
@@ -99,6 +103,18 @@ def candidates(
     return hits, size
 
 
+def _probe_in_passes(
+    catalog: DataFrame, ngrams: DataFrame, size: BatchSize, max_res: int
+) -> DataFrame:
+    part = F.pmod(F.xxhash64("ngram"), F.lit(size.passes))
+    found = None
+    for number in range(size.passes):
+        some = ngrams if size.passes == 1 else ngrams.filter(part == number)
+        postings = probe_postings(catalog, some, size.lengths, max_res)
+        found = postings if found is None else found.unionByName(postings)
+    return found
+
+
 def _best(hits: DataFrame, max_res: int) -> DataFrame:
     order = Window.partitionBy("text").orderBy(F.desc("rank"), "movie_id")
     return hits.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= max_res)
