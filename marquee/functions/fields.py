@@ -112,7 +112,8 @@ def trailer_file(html: Column) -> Column:
     """The first HD video on a trailer page, else the first other one; null without any."""
     hd = F.nullif(F.regexp_extract(html, TRAILER_HD_PATTERN, 1), F.lit(""))
     other = F.nullif(F.regexp_extract(html, TRAILER_ANY_PATTERN, 1), F.lit(""))
-    return F.concat(F.lit("http:"), stripslashes(F.coalesce(hd, other)))
+    found = F.concat(F.lit("http:"), stripslashes(F.coalesce(hd, other)))
+    return F.when(F.contains(html, F.lit(".mp4")), found)  # most pages skip the patterns
 
 
 def unescape_attribute(text: Column) -> Column:

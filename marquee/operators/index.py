@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions.text import stem, substring_lengths, substrings
-from marquee.operators.skew import spread
 
 #: Start positions handled by one row; a very long title is worked on in many such pieces.
 PIECE_STARTS = 128
@@ -21,13 +20,12 @@ HEAD_SHARE = 0.01
 
 
 def stemmed_titles(catalog: DataFrame) -> DataFrame:
-    titles = spread(catalog.select("movie_id", "rank", "title"))
-    stemmed = titles.select("movie_id", "rank", stem(F.col("title")).alias("text"))
+    stemmed = catalog.select("movie_id", "rank", stem(F.col("title")).alias("text"))
     return stemmed.filter(F.col("text") != "")
 
 
-def title_starts(titles: DataFrame, longest: int, width: int) -> DataFrame:
-    """One row per start position: ``rest`` has the next ``width`` characters.
+def title_starts(titles: DataFrame, longest: int) -> DataFrame:
+    """One row per start position: ``rest`` has the next ``longest`` characters.
 
     Titles are first cut into pieces that overlap by ``longest`` characters. Positions in a text
     are counted from its left end, so short pieces keep the work linear in the title's length.
@@ -40,7 +38,7 @@ def title_starts(titles: DataFrame, longest: int, width: int) -> DataFrame:
     pieces = titles.select("movie_id", "rank", F.explode(cut).alias("piece"))
     starts = F.sequence(F.lit(1), F.least(F.lit(PIECE_STARTS), F.length("piece")))
     return pieces.withColumn("start", F.explode(starts)).select(
-        "movie_id", "rank", "piece", F.substring("piece", F.col("start"), F.lit(width)).alias("rest")
+        "movie_id", "rank", F.substring("piece", F.col("start"), F.lit(longest)).alias("rest")
     )
 
 
@@ -63,7 +61,7 @@ def build_postings(
         return found if top_k is None else keep_best(found, top_k)
 
     wanted = sorted({int(n) for n in lengths})
-    starts = title_starts(titles, wanted[-1], wanted[-1])
+    starts = title_starts(titles, wanted[-1])
     found = (
         starts.withColumn("ngram", _beginnings("rest", wanted))
         .filter(F.length("ngram").isin(wanted))
@@ -109,41 +107,45 @@ def probe_postings(
     titles = stemmed_titles(catalog)
     anchors = sorted({min(n, ANCHOR_LENGTH) for n in lengths})
     keyed = ngrams.select(
-        "ngram",
-        F.xxhash64(F.substring("ngram", 1, ANCHOR_LENGTH)).alias("key"),
-        (F.length("ngram") > ANCHOR_LENGTH).alias("long"),
+        "ngram", F.xxhash64(F.substring("ngram", 1, ANCHOR_LENGTH)).alias("key")
     )
 
-    def hits(of_titles: DataFrame, probed: DataFrame) -> DataFrame:
-        same = F.when(F.col("long"), F.contains(F.col("piece"), F.col("ngram"))).otherwise(
-            F.col("ngram") == F.col("anchor")
-        )
-        return (
-            title_starts(of_titles, max(lengths), max(anchors))
-            .withColumn("anchor", _beginnings("rest", anchors))
-            .withColumn("key", F.xxhash64("anchor"))
-            .join(F.broadcast(probed), "key")
-            .filter(same)
+    def begun(of_titles: DataFrame) -> DataFrame:
+        starts = title_starts(of_titles, max(lengths))
+        return starts.withColumn("anchor", _beginnings("rest", anchors)).withColumn(
+            "key", F.xxhash64("anchor")
         )
 
+    def hits(beginnings: DataFrame) -> DataFrame:
+        found = beginnings.join(F.broadcast(keyed), "key").filter(F.startswith("rest", "ngram"))
+        return found.select("ngram", "movie_id", "rank")
+
     head_rank = catalog.agg(F.percentile_approx("rank", 1 - HEAD_SHARE)).scalar()
-    head = hits(titles.filter(F.col("rank") >= head_rank), keyed)
+    head = keep_best(hits(begun(titles.filter(F.col("rank") >= head_rank))), top_k)
     last = F.max_by(F.struct("rank", "movie_id"), F.struct(-F.col("rank"), "movie_id"))
     bounds = (
-        keep_best(head.select("ngram", "movie_id", "rank"), top_k)
+        head.filter(F.length("ngram") < ANCHOR_LENGTH)
         .groupBy("ngram")
         .agg(F.count("*").alias("n"), last.alias("last"))
         .filter(F.col("n") == top_k)
-        .select("ngram", "last.rank", "last.movie_id")
-        .toDF("ngram", "last_rank", "last_id")
+        .select(
+            F.xxhash64("ngram").alias("key"),
+            F.col("ngram").alias("frequent"),
+            F.col("last.rank").alias("last_rank"),
+            F.col("last.movie_id").alias("last_id"),
+        )
     )
-    reachable = (
-        F.col("last_rank").isNull()
-        | (F.col("rank") > F.col("last_rank"))
-        | ((F.col("rank") == F.col("last_rank")) & (F.col("movie_id") <= F.col("last_id")))
+    # Beginnings of full anchor length may also lead to longer n-grams and are always kept.
+    unreachable = (
+        (F.col("frequent") == F.col("anchor"))
+        & (
+            (F.col("rank") < F.col("last_rank"))
+            | ((F.col("rank") == F.col("last_rank")) & (F.col("movie_id") > F.col("last_id")))
+        )
     )
-    found = hits(titles, keyed.join(bounds, "ngram", "left")).filter(reachable)
-    return keep_best(found.select("ngram", "movie_id", "rank"), top_k)
+    beginnings = begun(titles).join(F.broadcast(bounds), "key", "left")
+    reachable = beginnings.filter(~F.coalesce(unreachable, F.lit(False)))
+    return keep_best(hits(reachable), top_k)
 
 
 def save_index(postings: DataFrame, path: str) -> None:

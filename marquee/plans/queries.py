@@ -11,7 +11,6 @@ from marquee.functions.fields import anchor_links, first_number
 from marquee.functions.text import content_words, stem, tokens
 from marquee.operators import catalog, crawl, evaluate, extract, predict, requests, search, stats
 from marquee.operators.index import build_postings, ranked_postings, save_index
-from marquee.operators.skew import spread
 from marquee.operators.variants import variants
 from marquee.plans import views
 from marquee.plans.views import SITE, table
@@ -95,14 +94,14 @@ def catalog_round_trip(spark, d):
 
 @query
 def stem_titles(spark, d):
-    titles = spread(_dump(spark, d).select("movie_id", "title"))
+    titles = _dump(spark, d)
     return titles.select("movie_id", stem(F.col("title")).alias("text"))
 
 
 @query
 def token_counts(spark, d):
     text = stem(F.col("title"))
-    titles = spread(_dump(spark, d).select("movie_id", "title"))
+    titles = _dump(spark, d)
     return titles.select(
         "movie_id", F.size(tokens(text)).alias("words"), F.size(content_words(text)).alias("content")
     )
@@ -110,7 +109,7 @@ def token_counts(spark, d):
 
 @query
 def content_word_counts(spark, d):
-    titles = spread(_dump(spark, d).select("title"))
+    titles = _dump(spark, d)
     words = titles.select(F.explode(content_words(stem(F.col("title")))).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("count"))
 

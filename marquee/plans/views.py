@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions.text import stem, tokens
+from marquee.operators.skew import spread
 from marquee.schema import CATALOG
 from marquee.sources.archive import listing_url
 
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(documents: DataFrame) -> DataFrame:
-    return documents.select(
+    return spread(documents).select(
         "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "title")
     ).withColumn("movie_id", F.col("doc_id") * LINES_PER_DOCUMENT + F.col("line_no"))
 

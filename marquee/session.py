@@ -18,6 +18,7 @@ def build_session(app: str = "marquee", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",  # no call site per column
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
