@@ -220,12 +220,12 @@ def fit(vocabulary: dict, rows: list[np.ndarray], labels: np.ndarray) -> Model:
     return Model(vocabulary, ratios, weights, bias, slope, shift)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score``."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with the score as column ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("score")
+    kept = docs.drop(name)
     at = kept.columns.index("text")
-    names = [*kept.columns, "score"]
+    names = [*kept.columns, name]
 
     def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -234,11 +234,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             scores = [model.score(t.as_py()) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names)
 
-    return kept.mapInArrow(work, kept.withColumn("score", F.lit(0.0)).schema)
+    return kept.mapInArrow(work, kept.withColumn(name, F.lit(0.0)).schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
     """The documents with a score of at least ``keep_at``; same columns."""
-    if "score" in docs.columns:
-        raise ValueError("documents must not have a column named score")
-    return scored(docs, train(docs, labels)).filter(F.col("score") >= keep_at).select(*docs.columns)
+    return scored(docs, train(docs, labels), "_score").filter(F.col("_score") >= keep_at).select(*docs.columns)

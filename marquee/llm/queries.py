@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import mixing, packing, pii, quality, simhash, sketch
+from marquee.llm import mixing, packing, pii, quality, simhash, sketch, substrings
 from marquee.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_personal_data": op8_personal_data,
     "op9_source_mix": op9_source_mix,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
