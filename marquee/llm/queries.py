@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import ann, html_text, mixing, packing, pii, quality, simhash, sketch, substrings
+from marquee.llm import ann, html_text, lm_score, mixing, packing, pii, quality, simhash, sketch, substrings
 from marquee.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_html_extraction": op3_html_extraction,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_backoff_scores": op5_backoff_scores,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_personal_data": op8_personal_data,
