@@ -11,8 +11,8 @@ its anchor and a second 64-bit hash of all 13 words. What counts is the smallest
 passage in n documents costs n rows, not pairs of documents. Windows that match one after the other make up a
 maximal repeat.
 
-Documents are not cut, and no anchor is left out. Anchors in more than ``HOT`` documents go a way of their own:
-their windows are reduced in every task before they are shuffled, and the join that follows splits large keys.
+Documents are not cut, and no anchor is left out. A passage in very many documents is settled for most of them where
+they are read: of equal windows in one batch, only the smallest document's goes on to be compared with other batches.
 
 Defined results: null and empty texts have no words; texts under 13 words keep all. Rows with the same doc_id are
 one document for the rule (none is smaller than another). A row without doc_id is no source and keeps all its
@@ -33,7 +33,6 @@ from marquee.llm.common import batches
 
 LENGTH = 13
 GRAM = 5
-HOT = 10_000
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -101,7 +100,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def shared_anchors(rows: DataFrame) -> DataFrame:
-    """(a, n): anchors in more than one document, and in how many, at least."""
+    """(a): anchors in more than one document."""
 
     def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
@@ -121,9 +120,9 @@ def shared_anchors(rows: DataFrame) -> DataFrame:
                 [_longs(a[first]), pa.array(d[first]), pa.array(d[last]), pa.array(last - first + 1)], ["a", "lo", "hi", "n"]
             )
 
-    seen = rows.select("doc_id", "text").mapInArrow(work, "a long, lo long, hi long, n long")
-    sums = seen.groupBy("a").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
-    return sums.filter("lo < hi").select("a", (F.col("n") > HOT).alias("hot"))
+    seen = rows.select("doc_id", "text").mapInArrow(work, "a long, lo long, hi long")
+    sums = seen.groupBy("a").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return sums.filter("lo < hi").select("a")
 
 
 def anchors_of(rows: DataFrame) -> DataFrame:
@@ -141,54 +140,63 @@ def anchors_of(rows: DataFrame) -> DataFrame:
 
 
 def windows(listed: DataFrame) -> DataFrame:
-    """(row, doc_id, a, hot, start, hs): runs of windows with a shared anchor.
+    """(row, doc_id, done, a, start, hs): runs of windows with a shared anchor.
 
-    ``listed`` has row, doc_id, text and the row's shared anchors, apart for hot ones (``cold_list``, ``hot_list``).
+    ``listed`` has row, doc_id, text and the row's shared anchors (``anchors``). Of equal windows in one batch only
+    those of the smallest document are sent on; for the others the answer is known. Such a row has ``done`` set,
+    the starts of these windows in ``hs``, and its own key for an anchor.
     """
 
     def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
-            out: list[list] = [[], [], [], [], [], []]
-            for row, doc, text, cold, hot in zip(*[c for c in batch.columns], strict=True):
+            rows, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            found: list[tuple] = []
+            for i, (text, shared) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x = _hashes(text.as_py().split())
                 anchors = window_anchors(x)
-                hashes = window_hashes(x).view(np.int64)
-                cuts = np.r_[0, np.flatnonzero(anchors[1:] != anchors[:-1]) + 1, len(anchors)]
-                heads = anchors[cuts[:-1]].view(np.int64)
-                warm = np.isin(heads, np.array(hot.as_py() or [], np.int64))
-                for i in np.flatnonzero(warm | np.isin(heads, np.array(cold.as_py() or [], np.int64))):
-                    values = row.as_py(), doc.as_py(), int(heads[i]), bool(warm[i]), int(cuts[i]), hashes[cuts[i] : cuts[i + 1]]
-                    for column, value in zip(out, values, strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int64())], strict=True)],
-                ["row", "doc_id", "a", "hot", "start", "hs"],
-            )
-
-    return listed.select("row", "doc_id", "text", "cold_list", "hot_list").mapInArrow(
-        work, "row long, doc_id long, a long, hot boolean, start int, hs array<long>"
+                at = np.flatnonzero(np.isin(anchors, shared.values.to_numpy().view(np.uint64)))
+                found.append((np.full(len(at), i), at, anchors[at], window_hashes(x)[at]))
+            who, at, a, h = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((docs[who], h, a))
+            heads = np.flatnonzero(np.r_[True, (a[order][1:] != a[order][:-1]) | (h[order][1:] != h[order][:-1])][: len(order)])
+            least = np.empty(len(order), np.int64)
+            least[order] = np.repeat(docs[who[order[heads]]], np.diff(np.r_[heads, len(order)]))
+            open_ = docs[who] == least
+            yield _run_rows(rows, docs, who[open_], at[open_], a[open_], h[open_], False)
+            done = ~open_
+            yield _run_rows(rows, docs, who[done], at[done], None, at[done], True)
+
+    return listed.select("row", "doc_id", "text", "anchors").mapInArrow(
+        work, "row long, doc_id long, done boolean, a long, start int, hs array<long>"
     )
 
 
+def _run_rows(rows: np.ndarray, docs: np.ndarray, who: np.ndarray, at: np.ndarray, a: np.ndarray | None, h: np.ndarray, done: bool) -> pa.RecordBatch:
+    """One row for each run of neighbouring windows with one anchor; for what is done, one for each document."""
+    new = who[1:] != who[:-1]
+    if a is not None:
+        new = new | (a[1:] != a[:-1]) | (at[1:] != at[:-1] + 1)
+    heads = np.flatnonzero(np.r_[True, new][: len(who)])
+    offsets = pa.array(np.r_[heads, len(who)].astype(np.int32))
+    key = rows[who[heads]]
+    columns = [
+        pa.array(key), pa.array(docs[who[heads]]), pa.array(np.full(len(heads), done)),
+        _longs(a[heads]) if a is not None else pa.array(key), pa.array(at[heads].astype(np.int32)),
+        pa.ListArray.from_arrays(offsets, _longs(h)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "done", "a", "start", "hs"])
+
+
 def repeated_starts(rows: DataFrame) -> DataFrame:
     """(row, starts): where a window starts that a document with a smaller doc_id has too."""
     own = anchors_of(rows).join(shared_anchors(rows), "a")
-    lists = own.groupBy("row").agg(
-        F.collect_set(F.when(~F.col("hot"), F.col("a"))).alias("cold_list"), F.collect_set(F.when(F.col("hot"), F.col("a"))).alias("hot_list")
-    )
-    runs = windows(rows.join(lists.hint("shuffle_hash"), "row"))
-    each = [F.col("row"), F.col("doc_id"), F.col("a"), F.posexplode("hs").alias("k", "h")]
-
-    # An anchor in few documents: all its windows meet in one place.
-    cold = runs.filter("not hot").repartition("a").select(*each, "start")
+    lists = own.groupBy("row").agg(F.collect_set("a").alias("anchors"))
+    runs = windows(rows.join(lists.hint("shuffle_hash"), "row")).repartition("a")
+    each = runs.select("row", "doc_id", "done", "a", "start", F.posexplode("hs").alias("k", "h"))
     least = F.min("doc_id").over(Window.partitionBy("a", "h"))
-    found = cold.withColumn("least", least).filter("least < doc_id").select("row", (F.col("start") + F.col("k")).alias("at"))
-
-    # An anchor in very many documents: smallest doc_id per task first, then a join that splits large keys.
-    warm = runs.filter("hot").select(*each, "start")
-    first = warm.groupBy("a", "h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    more = warm.join(first.select("a", "h", "least"), ["a", "h"]).filter("least < doc_id").select("row", (F.col("start") + F.col("k")).alias("at"))
-    return found.union(more).groupBy("row").agg(F.collect_set("at").alias("starts"))
+    at = F.when(F.col("done"), F.col("h").cast("int")).otherwise(F.col("start") + F.col("k"))
+    found = each.withColumn("least", least).filter("done or least < doc_id").select("row", at.alias("at"))
+    return found.groupBy("row").agg(F.collect_set("at").alias("starts"))
 
 
 def maximal(starts: np.ndarray) -> list[tuple[int, int]]:
