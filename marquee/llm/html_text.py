@@ -192,25 +192,30 @@ class Weights:
             total -= 8.0
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
-    def block(self, block: Block) -> float:
-        return block.words * self.word(block) - sum(self.outside.get(t, 0.5) for t in block.tags)
+    def tags(self, block: Block) -> float:
+        return sum(self.outside.get(t, 0.5) for t in block.tags)
 
 
-def region(scores: list[float]) -> tuple[int, int]:
-    """First and past-the-last index of the run with the highest sum; the earliest and longest of equals."""
+def region(scores: list[tuple[float, float]]) -> tuple[int, int]:
+    """First and past-the-last index of the run with the highest sum, the earliest of equals.
+
+    Each block comes as (score of the tags before it, score of its words); a run begins with words.
+    """
     best, found, total, start = 0.0, (0, 0), 0.0, 0
-    for i, s in enumerate(scores):
-        if total < 0:
+    for i, (tags, words) in enumerate(scores):
+        if total + tags <= 0:
             total, start = 0.0, i
-        total += s
-        if total > best or (total == best and start == found[0] and best > 0):
+        else:
+            total += tags
+        total += words
+        if total > best:
             best, found = total, (start, i + 1)
     return found
 
 
 def main_text(page: str | None, weights: Weights) -> str:
     found = blocks(page or "")
-    first, past = region([weights.block(b) for b in found])
+    first, past = region([(-weights.tags(b), b.words * weights.word(b)) for b in found])
     return " ".join(b.text for b in found[first:past] if not weights.is_apart(b))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from marquee.llm.common import WORD, known, null_safe, settle
 
 HASH_BITS = 60
-LEVEL_BITS = 15
+LEVEL_BITS = 12
 
 
 def word_count(text: Column) -> Column:
