@@ -39,50 +39,66 @@ PIECES_PER_BUCKET = 20_000
 # ---- token ids
 
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_CACHE_ENTRIES, _CACHED_LENGTH = 300_000, 40
+_CACHE_ENTRIES, _CACHED_LENGTH = 500_000, 40
 
 
 class Encoder:
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
     The vocabulary's words never run across a single space between two other characters: the space begins the next
-    word. So a text is cut there and every distinct part is encoded once, as long as the bounded cache holds it.
+    word. So a text is cut there. A part seen before comes from a bounded cache; a new one is split into the
+    vocabulary's words, which have a cache of their own, as most new parts are known words with other punctuation.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.later: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        unknown = set().union(*parts) - self.later.keys()
-        odd = {p for p in unknown if not p or p[0].isspace() or p[-1].isspace()}
-        if odd:
-            for i, p in enumerate(parts):
-                if not odd.isdisjoint(p):
-                    parts[i] = _SINGLE_SPACE.split(texts[i])
-            unknown = set().union(*parts) - self.later.keys()
-        if len(self.later) + len(unknown) > _CACHE_ENTRIES:
-            self.later.clear()
-            unknown = set().union(*parts)
-        new = list(unknown)
-        self.later.update(zip(new, self._encode([" " + p for p in new]), strict=True))
-        first = dict.fromkeys(p[0] for p in parts)
-        first = dict(zip(first, self._encode(list(first)), strict=True))
-        get = self.later.__getitem__
-        out = [first[p[0]] + b"".join(map(get, p[1:])) for p in parts]
-        for p in new:
-            if len(p) > _CACHED_LENGTH:
-                del self.later[p]
-        return out
+        tokenizer = Tokenizer.from_file(path)
+        if tokenizer.normalizer is not None:
+            raise ValueError("parts of a text cannot be encoded apart where texts are normalised")
+        self.split, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+            if len(word) <= _CACHED_LENGTH:
+                if len(self.words) >= _CACHE_ENTRIES:
+                    self.words.clear()
+                self.words[word] = ids
+        return ids
+
+    def encode(self, part: str) -> bytes:
+        """Of a text by itself."""
+        return b"".join([self._word(w) for w, _ in self.split(part)])
+
+    def later(self, part: str) -> bytes:
+        """Of a part that follows a space."""
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.encode(" " + part)
+            if len(part) <= _CACHED_LENGTH:
+                if len(self.parts) >= _CACHE_ENTRIES:
+                    self.parts.clear()
+                self.parts[part] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        parts = text.split(" ")
+        found = list(map(self.parts.get, parts))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        # Parts next to other white space are never cached as such, so they always turn up here.
+        if any(not (p := parts[i]) or p[0].isspace() or p[-1].isspace() for i in new):
+            parts = _SINGLE_SPACE.split(text)
+            return self.encode(parts[0]) + b"".join(map(self.later, parts[1:]))
+        for i in new:
+            if i:
+                found[i] = self.later(parts[i])
+        found[0] = self.encode(parts[0])
+        return b"".join(found)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -108,11 +124,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
         for batch in batches(frames):
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), tool.many([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += end
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = tool.ids(text or "") + end
                     for i, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                         rows.append((doc, i, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
