@@ -148,9 +148,12 @@ def probe_postings(
     return keep_best(hits(reachable), top_k)
 
 
-def save_index(postings: DataFrame, path: str) -> None:
-    """Store postings by n-gram length, so that a lookup reads only the lengths it needs."""
+def save_index(postings: DataFrame, path: str, groups: int = 64) -> None:
+    """Store postings by n-gram length, so that a lookup reads only the lengths it needs.
+
+    ``groups`` is the number of tasks, and files, of each length.
+    """
     stored = postings.withColumn("length", F.length("ngram"))
-    stored.repartition("length", F.pmod(F.xxhash64("ngram"), F.lit(64))).write.mode(
+    stored.repartition("length", F.pmod(F.xxhash64("ngram"), F.lit(groups))).write.mode(
         "overwrite"
     ).partitionBy("length").parquet(path)

@@ -16,7 +16,7 @@ from marquee.constants import MAX_MESSAGE_BYTES, SEARCH_DISTANCE, SEARCH_RESULTS
 from marquee.functions.text import stem
 from marquee.operators.catalog import detail
 from marquee.operators.index import build_postings, probe_postings
-from marquee.operators.skew import salted_join, spread
+from marquee.operators.skew import salted_join
 from marquee.operators.variants import EDITS_PER_POSITION, variants
 
 #: Largest estimated size of a set of variants, or of answers, that is broadcast.
@@ -52,7 +52,8 @@ def within_limit(requests: DataFrame) -> DataFrame:
 def request_texts(requests: DataFrame) -> DataFrame:
     """The distinct normalised texts of a batch."""
     texts = within_limit(requests).select(stem(F.col("input")).alias("text"))
-    return spread(texts.filter(F.col("text") != "").distinct())
+    tasks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.filter(F.col("text") != "").distinct().repartition(tasks)
 
 
 def batch_size(texts: DataFrame, max_dist: int) -> BatchSize:

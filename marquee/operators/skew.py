@@ -9,17 +9,13 @@ SALTS = 8
 COPIES_PER_PIECE = 10_000
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out to every core, for a small input that feeds much work per row.
-
-    An input of many files already has a task for every core and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
-
-
 def salted_join(
-    hot: DataFrame, other: DataFrame, key: str, spread_by: list[str], how: str = "inner"
+    hot: DataFrame,
+    other: DataFrame,
+    key: str,
+    spread_by: list[str],
+    how: str = "inner",
+    salts: int = SALTS,
 ) -> DataFrame:
     """Join where ``hot`` may have very many rows of one key and ``other`` has few per key.
 
@@ -27,8 +23,8 @@ def salted_join(
     the other side is repeated once per salt. AQE still turns it into a broadcast join when the
     other side proves small at run time.
     """
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     return (
         hot.withColumn("_salt", salt)
         .join(other.withColumn("_salt", every_salt), [key, "_salt"], how)
@@ -37,7 +33,12 @@ def salted_join(
 
 
 def repeat_rows(df: DataFrame, copies: str) -> DataFrame:
-    """Each row ``copies`` times; large counts are cut into pieces that are spread out first."""
+    """Each row ``copies`` times. Only large counts are cut into pieces that are spread out first."""
+    single = df.filter(F.col(copies) == 1).drop(copies)
+    return single.unionByName(_spread_copies(df.filter(F.col(copies) > 1), copies))
+
+
+def _spread_copies(df: DataFrame, copies: str) -> DataFrame:
     pieces = F.sequence(F.lit(0), F.ceil(F.col(copies) / COPIES_PER_PIECE) - 1)
     size = F.least(
         F.lit(COPIES_PER_PIECE), F.col(copies) - F.col("_piece") * F.lit(COPIES_PER_PIECE)

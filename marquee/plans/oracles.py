@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
+from marquee import constants
+
 ORACLES: dict[str, str] = {}
 
 _SITE = "http://films.example"
 _SPACES = r"[ \t\n\x0B\f\r]+"
-_STOP_WORDS = (
-    "'and','the','of','de','l','l''','avec','for','pour','in','sur','on','under','sous','la','le',"
-    "'les','all','with','a','un','une','to','an','from'"
-)
+_STOP_WORDS = ",".join("'" + word.replace("'", "''") + "'" for word in constants.STOP_WORDS)
 _FILM_URL = (
     f"'{_SITE}/film/' || ((doc_id * 7) % 1000000 + line_no) || '_' || movie_id || '.html'"
 )
 
 
 def _stem(column: str) -> str:
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    marks = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
+    upper, lower = constants.ASCII_UPPER, constants.ASCII_LOWER
+    marks = constants.ASCII_PUNCTUATION.replace("'", "''")
     spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return (
         f"regexp_replace(trim(translate({column}, '{upper}{marks}', '{lower}'), {spaces}), ' +', ' ', 'g')"
@@ -31,7 +30,8 @@ def _words(text: str) -> str:
 _LINES = """
 lines AS (
   SELECT doc_id, lang, source, line_no, title,
-         doc_id * 1000000000 + line_no AS movie_id, doc_id + line_no AS mark, length(title) AS size
+         CAST('0x' || substr(md5(doc_id || ':' || line_no), 1, 15) AS BIGINT) AS movie_id,
+         doc_id + line_no AS mark, length(title) AS size
   FROM (SELECT doc_id, lang, source, unnest(p) AS title, unnest(range(len(p))) AS line_no
         FROM (SELECT *, string_split(text, chr(10)) AS p FROM documents)))
 """
@@ -136,10 +136,27 @@ spans AS (SELECT *, unnest(range(1, length(text) - i + 2)) AS n FROM starts),
 postings AS (SELECT DISTINCT substring(text, i, n) AS ngram, movie_id, rank FROM spans)
 """
 
-ORACLES["ngrams_distinct"] = f"WITH {_PART_POSTINGS} SELECT ngram, movie_id, rank FROM postings"
+ORACLES["ngrams_of_parts"] = f"""
+WITH {_PART_POSTINGS}
+SELECT ngram, movie_id, rank, row_number() OVER (PARTITION BY ngram ORDER BY rank DESC, movie_id) AS pos
+FROM postings
+"""
+
+_TITLE_POSTINGS = f"""
+names AS (SELECT movie_id, rank, {_stem("title")} AS text FROM cat),
+starts AS (SELECT movie_id, rank, text, unnest(range(1, length(text) + 1)) AS i FROM names),
+spans AS (SELECT *, unnest([1, 2, 3, 5]) AS n FROM starts),
+postings AS (
+  SELECT DISTINCT substring(text, i, n) AS ngram, movie_id, rank FROM spans WHERE i + n - 1 <= length(text))
+"""
+
+ORACLES["ngrams_distinct"] = f"""
+WITH {_CATALOG}, {_TITLE_POSTINGS}
+SELECT ngram, count(*) AS titles, max(rank) AS best FROM postings GROUP BY ngram
+"""
 
 ORACLES["ngrams_ranked"] = f"""
-WITH {_PART_POSTINGS}
+WITH {_CATALOG}, {_TITLE_POSTINGS}
 SELECT ngram, movie_id, rank,
   row_number() OVER (PARTITION BY ngram ORDER BY rank DESC, movie_id) AS pos
 FROM postings QUALIFY pos <= 6
@@ -221,11 +238,13 @@ best AS (
 SELECT {_ANSWER} FROM best b JOIN cat USING (movie_id) WHERE pos <= 6
 """
 
-ORACLES["search_fuzzy_reference"] = _FUZZY + f""",
+def _evicted(source: str) -> str:
+    """Answers of the queue that gives up its best entry, from the hits of a table."""
+    return f"""
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY input ORDER BY visit, rank DESC, movie_id) AS place,
     row_number() OVER (PARTITION BY input ORDER BY rank DESC, visit, movie_id) AS by_rank
-  FROM ranked),
+  FROM {source}),
 entered AS (
   SELECT *, max(rank) FILTER (place <= 6) OVER (PARTITION BY input) AS top_entered,
     max(rank) OVER (PARTITION BY input) AS top,
@@ -238,6 +257,14 @@ best AS (SELECT *, row_number() OVER (PARTITION BY input ORDER BY rank DESC, mov
 SELECT {_ANSWER} FROM best b JOIN cat USING (movie_id)
 """
 
+
+ORACLES["search_fuzzy_reference"] = _FUZZY + "," + _evicted("ranked")
+
+ORACLES["discover_reference"] = _FUZZY + """,
+counted AS (SELECT *, count(*) FILTER (visit = 0) OVER (PARTITION BY input) AS n_exact FROM ranked),
+gated AS (SELECT input, movie_id, visit, rank FROM counted WHERE n_exact < 6 OR visit = 0),
+""" + _evicted("gated")
+
 ORACLES["search_saved_index"] = f"""
 WITH {_PART_POSTINGS},
 q AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS input FROM part), {_variants("q")},
@@ -360,13 +387,13 @@ ORACLES["top_titles"] = f"WITH {_LINES}, " + _top_and_others(
 )
 
 ORACLES["ngram_length_hist"] = f"""
-WITH {_PART_POSTINGS}, g AS (SELECT DISTINCT ngram FROM postings)
+WITH {_CATALOG}, {_TITLE_POSTINGS}, g AS (SELECT DISTINCT ngram FROM postings)
 SELECT length(ngram) AS length, count(*) AS count FROM g GROUP BY ALL
 """
 
 ORACLES["catalog_counts"] = f"""
-WITH {_PART_POSTINGS}
-SELECT (SELECT count(*) FROM part) AS movies, count(DISTINCT ngram) AS ngrams FROM postings
+WITH {_CATALOG}, {_TITLE_POSTINGS}
+SELECT (SELECT count(*) FROM cat) AS movies, count(DISTINCT ngram) AS ngrams FROM postings
 """
 
 ORACLES["partition_rows"] = "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(16 AS BIGINT) AS partitions FROM orders"
@@ -379,8 +406,10 @@ WHERE c_mktsegment <> '' GROUP BY ALL
 # --- crawl and extraction -----------------------------------------------------------------
 
 ORACLES["seed_pages"] = f"""
-SELECT page_no, '{_SITE}/films/?page=' || page_no AS url
-FROM (SELECT unnest(range(1, (SELECT count(*) FROM pages) + 1)) AS page_no)
+SELECT page_no, '{_SITE}/films/?page=' || page_no AS url,
+  CAST(coalesce(len(string_split(text, chr(10))), -1) AS INTEGER) AS films
+FROM (SELECT unnest(range(1, (SELECT count(*) FROM documents) + 1)) AS page_no)
+LEFT JOIN documents ON doc_id + 1 = page_no
 """
 
 _UNESCAPED = "replace(replace(replace(replace({}, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
@@ -449,6 +478,19 @@ tagged AS (SELECT unnest([
   CASE WHEN mark % 3 = 0 AND NOT failed THEN 'FAILED_TRAILERS' END,
   CASE WHEN failed THEN 'FAILED_MOVIES' ELSE 'MOVIES' END]) AS tag FROM films)
 SELECT tag, count(*) AS count FROM tagged WHERE tag IS NOT NULL GROUP BY tag
+UNION ALL SELECT 'DIRECTORIES', count(*) FROM documents
+"""
+
+ORACLES["merged_dump"] = f"""
+WITH {_DUMP}
+SELECT count(*) AS records, CAST(sum(movie_id % 1000) AS BIGINT) AS ids, CAST(1 AS BIGINT) AS files,
+  CAST(0 AS BIGINT) AS broken FROM dump
+"""
+
+ORACLES["dump_quarantine"] = f"""
+WITH {_DUMP}
+SELECT CASE WHEN movie_id % 5 = 0 THEN 'broken' WHEN movie_id % 7 = 0 THEN 'untitled' ELSE 'kept' END AS kind,
+  count(*) AS lines FROM dump GROUP BY ALL
 """
 
 # --- requests and streams -----------------------------------------------------------------
@@ -508,3 +550,6 @@ SELECT date_trunc('hour', ts) AS window_start, event_type AS tag, count(*) AS co
 FROM events GROUP BY ALL
 """
 ORACLES["stream_telemetry"] = ORACLES["telemetry_counts"]
+
+ORACLES["search_stored_titles"] = ORACLES["search_discover"]
+ORACLES["predict_stored_model"] = ORACLES["predict_genre"]

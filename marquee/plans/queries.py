@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.constants import LISTING_LINK_CLASS
 from marquee.functions.fields import anchor_links, first_number
 from marquee.functions.text import content_words, stem, tokens
 from marquee.operators import catalog, crawl, evaluate, extract, predict, requests, search, stats
@@ -14,10 +15,11 @@ from marquee.operators.index import build_postings, ranked_postings, save_index
 from marquee.operators.variants import variants
 from marquee.plans import views
 from marquee.plans.views import SITE, table
-from marquee.schema import ARCHIVE, REQUESTS
+from marquee.schema import ARCHIVE, REQUESTS, TELEMETRY
 from marquee.session import scratch_path
 from marquee.sources import catalog_io, values
-from marquee.sources.archive import seed_urls
+from marquee.sources import telemetry
+from marquee.sources.archive import fetch, seed_urls
 from marquee.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +47,11 @@ def _words(spark, d, feature="d"):
     return views.words_as_requests(table(spark, d, "benchmark"), feature)
 
 
+#: Substrings of these lengths are indexed by the named index queries. A full index of a title grows with the
+#: square of its length; titles are never cut.
+INDEXED_LENGTHS = [1, 2, 3, 5]
+
+
 def _parts(spark, d):
     """Part names as a small catalog whose titles are indexed in full."""
     parts = table(spark, d, "part")
@@ -116,14 +123,21 @@ def content_word_counts(spark, d):
 
 @query
 def ngrams_distinct(spark, d):
-    """Every distinct substring of every part name."""
-    return build_postings(_parts(spark, d))
+    """The distinct substrings of each title, of the indexed lengths, with the number of its titles."""
+    postings = build_postings(_catalog(spark, d), INDEXED_LENGTHS)
+    return postings.groupBy("ngram").agg(F.count("*").alias("titles"), F.max("rank").alias("best"))
 
 
 @query
 def ngrams_ranked(spark, d):
-    """The six best part names of every substring."""
-    return ranked_postings(build_postings(_parts(spark, d), top_k=6))
+    """The six best titles of every substring of the indexed lengths."""
+    return ranked_postings(build_postings(_catalog(spark, d), INDEXED_LENGTHS, top_k=6))
+
+
+@query
+def ngrams_of_parts(spark, d):
+    """Every substring of every part name, of any length, with all its part names in order."""
+    return ranked_postings(build_postings(_parts(spark, d)))
 
 
 # --- search -------------------------------------------------------------------------------
@@ -165,6 +179,13 @@ def search_fuzzy_reference(spark, d):
     return found.select(*_ANSWER)
 
 
+@query
+def discover_reference(spark, d):
+    """The gate first, then the queue that gives up its best entry: the answer a client really got."""
+    found = search.search(_words(spark, d), _catalog(spark, d), eviction="reference")
+    return found.select(*_ANSWER)
+
+
 @query
 def search_saved_index(spark, d):
     """Exact and fuzzy search of part names in a stored full index."""
@@ -246,13 +267,13 @@ def top_titles(spark, d):
 
 @query
 def ngram_length_hist(spark, d):
-    return stats.ngram_length_histogram(build_postings(_parts(spark, d)))
+    return stats.ngram_length_histogram(build_postings(_catalog(spark, d), INDEXED_LENGTHS))
 
 
 @query
 def catalog_counts(spark, d):
-    parts = _parts(spark, d)
-    return stats.catalog_counts(parts, build_postings(parts))
+    titles = _catalog(spark, d)
+    return stats.catalog_counts(titles, build_postings(titles, INDEXED_LENGTHS))
 
 
 @query
@@ -275,7 +296,12 @@ def values_round_trip(spark, d):
 
 @query
 def seed_pages(spark, d):
-    return seed_urls(spark, SITE, table(spark, d, "pages").count())
+    """Listing pages 1..N looked up in the archive, with the number of films each lists."""
+    documents = _documents(spark, d)
+    seeds = seed_urls(spark, SITE, documents.count())
+    fetched = fetch(seeds, views.listing_pages(documents))
+    films = F.size(anchor_links(F.col("html"), LISTING_LINK_CLASS))
+    return fetched.select("page_no", "url", F.coalesce(F.when(F.col("html").isNotNull(), films), F.lit(-1)).alias("films"))
 
 
 @query
@@ -338,9 +364,45 @@ def crawl_records(spark, d):
 
 @query
 def crawl_events(spark, d):
-    """Events of an extraction run, counted by tag."""
-    found = extract.events(_extracted(spark, d), F.lit("2024-01-01").cast("timestamp"))
-    return found.groupBy("tag").agg(F.count("*").alias("count"))
+    """All events of a crawl: the store is reset, listing and film events are appended, and read back."""
+    path, at = scratch_path(spark, "events"), F.lit("2024-01-01").cast("timestamp")
+    documents = _documents(spark, d)
+    telemetry.append_events(spark.createDataFrame([(None, "LEFT OVER")], TELEMETRY), path)
+    telemetry.reset_events(spark, path)
+    telemetry.append_events(crawl.listing_events(views.listing_pages(documents), at), path)
+    telemetry.append_events(extract.events(_extracted(spark, d), at), path)
+    return telemetry.read_events(spark, path).groupBy("tag").agg(F.count("*").alias("count"))
+
+
+@query
+def merged_dump(spark, d):
+    """The dump merged into a single file and read back, ids included."""
+    path = scratch_path(spark, "merged")
+    catalog_io.write_dump(_dump(spark, d), path, single_file=True)
+    records, broken = catalog_io.read_dump(spark, path)
+    left = broken.select(F.lit(None).cast("long").alias("movie_id"), F.lit(None).cast("string").alias("file"))
+    rows = records.select("movie_id", F.input_file_name().alias("file")).union(left)
+    return rows.agg(
+        F.count("movie_id").alias("records"),
+        F.sum(F.col("movie_id") % 1000).alias("ids"),
+        F.countDistinct("file").alias("files"),
+        F.count_if(F.col("movie_id").isNull()).alias("broken"),
+    )
+
+
+@query
+def dump_quarantine(spark, d):
+    """A dump with broken lines and records without title: what is left out, by kind."""
+    path = scratch_path(spark, "broken")
+    rows = _dump(spark, d).withColumn("title", F.when(F.col("movie_id") % 7 != 0, F.col("title")))
+    line = F.to_json(F.struct(*[c for c in rows.columns if c != "movie_id"]))
+    broken = F.when(F.col("movie_id") % 5 == 0, F.concat(F.lit("broken "), line)).otherwise(line)
+    rows.select(broken.alias("value")).write.text(path)
+    records, left_out = catalog_io.read_dump(spark, path)
+    kind = F.when(F.startswith("line", F.lit("broken ")), "broken").otherwise("untitled")
+    return left_out.groupBy(kind.alias("kind")).agg(F.count("*").alias("lines")).union(
+        records.agg(F.count("*")).select(F.lit("kept"), "count(1)")
+    )
 
 
 # --- requests and streams -----------------------------------------------------------------
@@ -366,6 +428,29 @@ def _library(spark, d):
     return requests.Library(titles, predict.train(titles))
 
 
+def _stored_library(spark, d):
+    """Titles and model, built once and read back."""
+    path = scratch_path(spark, "library")
+    requests.build_library(_catalog(spark, d), path)
+    return requests.load_library(spark, path)
+
+
+@query
+def search_stored_titles(spark, d):
+    """Discover requests answered from stored titles."""
+    return search.search(_words(spark, d), _stored_library(spark, d).catalog).select(*_ANSWER)
+
+
+@query
+def predict_stored_model(spark, d):
+    """Genres predicted from a stored model."""
+    asked = views.lines_as_requests(table(spark, d, "conversations"))
+    found = predict.predict(asked, _stored_library(spark, d).model)
+    return found.filter("label_kind = 'genre'").select(
+        "input", "pos", "class", F.col("p").cast("float").alias("p"), "pct"
+    )
+
+
 @query
 def request_dispatch(spark, d):
     answered = requests.answer(_mixed_requests(spark, d), _library(spark, d))
@@ -388,25 +473,26 @@ def telemetry_counts(spark, d):
 
 @query
 def stream_telemetry(spark, d):
-    """The same counts from a stream of event files."""
+    """The same counts from a stream of event files, one file a batch, the latest events first."""
     source, sink = scratch_path(spark, "events"), scratch_path(spark, "counts")
     events = table(spark, d, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("tag")
     )
-    events.repartitionByRange(4, "ts").write.parquet(source)
-    stream = jobs.file_stream(spark, source, events.schema)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    events.repartitionByRange(min(4, tasks), F.desc("ts")).write.parquet(source)
+    stream = jobs.file_stream(spark, source, events.schema, files_per_batch=1)
     jobs.count_stream(stream, sink, scratch_path(spark, "progress")).awaitTermination()
     return jobs.current_counts(spark, sink)
 
 
 @query
 def stream_requests(spark, d):
-    """Requests answered from a stream of request files."""
+    """Requests answered from a stream of request files, in several batches, from a stored library."""
     source, sink = scratch_path(spark, "requests"), scratch_path(spark, "answers")
-    _mixed_requests(spark, d).select(*REQUESTS.names).write.parquet(source)
-    stream = jobs.file_stream(spark, source, REQUESTS)
+    _mixed_requests(spark, d).select(*REQUESTS.names).repartition(2, "query_id").write.parquet(source)
+    stream = jobs.file_stream(spark, source, REQUESTS, files_per_batch=1)
     jobs.answer_stream(
-        stream, _library(spark, d), sink, scratch_path(spark, "progress")
+        stream, _stored_library(spark, d), sink, scratch_path(spark, "progress")
     ).awaitTermination()
     return spark.read.parquet(sink).select("feature", "input", "response")
 

@@ -10,21 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions.text import stem, tokens
-from marquee.operators.skew import spread
 from marquee.schema import CATALOG
 from marquee.sources.archive import listing_url
 
-LINES_PER_DOCUMENT = 1_000_000_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def title_id(doc_id, line_no):
+    """60 bits of the MD5 of document and line: no arithmetic that could overflow."""
+    name = F.concat_ws(":", doc_id.cast("string"), line_no.cast("string"))
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
+
+
 def lines(documents: DataFrame) -> DataFrame:
-    return spread(documents).select(
+    """One row per line. The scan's own splits decide the tasks; to deal out a few unsplittable files,
+    name the number of tasks in ``spark.marquee.input.partitions``."""
+    parts = documents.sparkSession.conf.get("spark.marquee.input.partitions", None)
+    dealt = documents.repartition(int(parts)) if parts else documents
+    return dealt.select(
         "doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "title")
-    ).withColumn("movie_id", F.col("doc_id") * LINES_PER_DOCUMENT + F.col("line_no"))
+    ).withColumn("movie_id", title_id(F.col("doc_id"), F.col("line_no")))
 
 
 def dump(documents: DataFrame) -> DataFrame:
@@ -172,7 +179,7 @@ def listing_pages(documents: DataFrame) -> DataFrame:
     line_count = F.size(F.split("text", "\n"))
 
     def anchor(line_no):
-        path = _film_path(F.col("doc_id"), line_no, F.col("doc_id") * LINES_PER_DOCUMENT + line_no)
+        path = _film_path(F.col("doc_id"), line_no, title_id(F.col("doc_id"), line_no))
         return F.concat(F.lit('<li><a class="meta-title-link" href="'), path, F.lit('">film</a></li>'))
 
     anchors = F.transform(F.sequence(F.lit(0), line_count - 1), anchor)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -30,9 +32,20 @@ def build_session(app: str = "marquee", master: str | None = None, **conf: str)
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder the cluster shares (``spark.checkpoint.dir``).
 
-    Only where the session names no such folder, as in a local test, a local one is made.
+    Only a local session may lack one, as in a test: it gets a folder that goes with the process. On a
+    cluster executors would each write to a disk of their own, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="marquee-")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local_folder()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@lru_cache(1)
+def _local_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="marquee-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder

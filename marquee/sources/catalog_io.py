@@ -16,18 +16,23 @@ def read_dump(
 ) -> tuple[DataFrame, DataFrame]:
     """``(records, quarantine)`` of a JSON-lines dump, a file or a directory of part files.
 
-    Records get a ``movie_id`` that follows the order of the files. Broken lines and records
-    without a title go to the quarantine as text; with ``fail_fast`` a broken line ends the job.
+    A dump written here holds each record's ``movie_id``. In another one it is the hash of the record and the
+    name of its file, so it does not depend on how the files are split; equal records of one file share it.
+    Broken lines and records without a title go to the quarantine as text; with ``fail_fast`` a broken line
+    ends the job.
     """
-    schema = T.StructType([*CATALOG.fields, T.StructField(_BROKEN, T.StringType())])
+    schema = T.StructType(
+        [*CATALOG.fields, T.StructField("movie_id", T.LongType()), T.StructField(_BROKEN, T.StringType())]
+    )
     reader = spark.read.schema(schema)
     if fail_fast:
         rows = reader.option("mode", "FAILFAST").json(path)
     else:
         rows = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BROKEN).json(path)
-    rows = rows.withColumn("movie_id", F.monotonically_increasing_id())
     usable = F.col(_BROKEN).isNull() & F.col("title").isNotNull()
     names = [f.name for f in CATALOG.fields]
+    file = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    rows = rows.withColumn("movie_id", F.coalesce("movie_id", F.xxhash64(file, F.to_json(F.struct(*names)))))
     text = F.coalesce(F.col(_BROKEN), F.to_json(F.struct(*names)))
     return (
         rows.filter(usable).select("movie_id", *names),
@@ -37,7 +42,8 @@ def read_dump(
 
 def write_dump(records: DataFrame, path: str, single_file: bool = False) -> None:
     """Records as JSON lines, replacing an earlier dump. ``single_file`` is for small exports."""
-    rows = records.select(*[f.name for f in CATALOG.fields])
+    ids = [c for c in ("movie_id",) if c in records.columns]
+    rows = records.select(*ids, *[f.name for f in CATALOG.fields])
     if single_file:
         rows = rows.coalesce(1)
     rows.write.mode("overwrite").json(path)

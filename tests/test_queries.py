@@ -5,6 +5,8 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from marquee.plans.oracles import ORACLES
+from marquee.plans.queries import QUERIES
 from tools.check_queries import connect, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +20,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
         "catalog_derive", "catalog_display", "token_counts", "ngrams_ranked", "search_discover",
         "search_fuzzy_reference", "search_saved_index", "train_probs", "predict_genre", "accuracy",
         "top_titles", "page_links", "page_records", "crawl_records", "request_dispatch",
-        "stream_telemetry", "stream_extract",
+        "stream_telemetry", "stream_extract", "stream_requests", "discover_reference", "seed_pages",
+        "merged_dump", "dump_quarantine", "crawl_events", "catalog_counts", "predict_stored_model",
     ],
 )
 def test_query_equals_sql(spark, name):
@@ -29,7 +32,8 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
