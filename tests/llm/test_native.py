@@ -45,6 +45,16 @@ def test_pii_query_digest(spark):
         assert got[d.doc_id].n_email == sum(k == "email" for k, _, _ in base)
 
 
+def test_card_beside_another_number_is_added(spark):
+    cards = ["4111111111111111", "4845168114407329", "5500005555555559", "340000000000009"]
+    alone = [(i, f"word text {cards[i % 4]} more words {i}", "a") for i in range(400)]
+    others = [(i, f"word text {7536784127813050 + 7 * i} more", "a") for i in range(400, 600) if not brute.luhn(str(7536784127813050 + 7 * i))]
+    rows = frame(spark, [*alone, *others, (1000, "text 7536784127813051 4845168114407329 end", "a")])
+    got = {r.doc_id: r for r in pii.spans_of(rows).collect()}
+    assert list(map(tuple, got[1000].base)) == [] and list(map(tuple, got[1000].spans)) == [("card", 22, 38)]
+    assert all(got[i].spans == got[i].base for i, _, _ in alone + others)
+
+
 def test_trees_add_what_looks_like_base():
     # code 3 is nearly always a base span, code 4 never
     table = [dict(kind="card", code=c, held=h, n=100, hits=k) for h in (False, True) for c, k in ((3, 96), (4, 0))]
