@@ -97,8 +97,9 @@ def probe_postings(
     """The ``top_k`` best postings of a set of n-grams known to be small enough to broadcast.
 
     No substring is shuffled: each title tests its own against the broadcast set, by hash and
-    then by text. n-grams above the anchor length meet by their first characters and are then
-    compared in full, which bounds the substrings per character whatever the lengths asked for.
+    then by text. The first characters of a position tell which lengths of n-grams begin so, at
+    most one row per length however many n-grams share the beginning; the substrings of these
+    lengths are then looked up by the hash of their full text.
 
     Frequent n-grams would match nearly everywhere. A first pass over the best ranked titles
     finds, for each n-gram with ``top_k`` hits there, the last of its best; no title below that
@@ -106,9 +107,9 @@ def probe_postings(
     """
     titles = stemmed_titles(catalog)
     anchors = sorted({min(n, ANCHOR_LENGTH) for n in lengths})
-    keyed = ngrams.select(
-        "ngram", F.xxhash64(F.substring("ngram", 1, ANCHOR_LENGTH)).alias("key")
-    )
+    begin = F.xxhash64(F.substring("ngram", 1, ANCHOR_LENGTH)).alias("key")
+    sizes = ngrams.select(begin, F.length("ngram").alias("size")).distinct()
+    whole = ngrams.select("ngram", F.xxhash64("ngram").alias("whole"))
 
     def begun(of_titles: DataFrame) -> DataFrame:
         starts = title_starts(of_titles, max(lengths))
@@ -117,7 +118,9 @@ def probe_postings(
         )
 
     def hits(beginnings: DataFrame) -> DataFrame:
-        found = beginnings.join(F.broadcast(keyed), "key").filter(F.startswith("rest", "ngram"))
+        sized = beginnings.join(F.broadcast(sizes), "key").filter(F.length("rest") >= F.col("size"))
+        full = sized.withColumn("whole", F.xxhash64(F.substring(F.col("rest"), F.lit(1), F.col("size"))))
+        found = full.join(F.broadcast(whole), "whole").filter(F.startswith("rest", "ngram"))
         return found.select("ngram", "movie_id", "rank")
 
     head_rank = catalog.agg(F.percentile_approx("rank", 1 - HEAD_SHARE)).scalar()

@@ -16,6 +16,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.default.parallelism": "4",
+            "spark.marquee.input.partitions": "4",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
         },

@@ -201,3 +201,30 @@ def test_plans_have_no_nested_loop(spark, small):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
         assert "WindowGroupLimit" in plan
+
+
+def test_requests_of_one_beginning_cost_one_row_per_length(spark):
+    """However many n-grams share their first letters, a title position meets one row per length."""
+    titles = titled(spark, [(f"the lament of number {i}", i) for i in range(50)])
+    crowd = [f"the lament of {a}{b}" for a in LETTERS for b in LETTERS]
+    ngrams = spark.createDataFrame([(w,) for w in {*crowd, "the lament of nu"}], "ngram string")
+    found = index.probe_postings(titles, ngrams, [16], 6)
+    assert [r.ngram for r in found.collect()] == ["the lament of nu"] * 6
+
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_gate_and_eviction_together(spark, small):
+    """The answer a client really gets: exact hits alone where there are enough, else the queue's."""
+    pairs, catalog = small
+    got = answers(search.search(asked(spark, *REQUESTS), catalog, eviction="reference"))
+    for text in REQUESTS:
+        asked_for = stemmed(text)
+        exact = sorted((t for t in plain(pairs) if asked_for and asked_for in t[1]), key=lambda t: (-t[2], t[0]))
+        if len(text) >= 80:
+            assert text not in got
+        elif len(exact) < 6:
+            assert got.get(text, []) == plain_queue(asked_for, plain(pairs)), text
+        else:
+            assert len(got[text]) == 6 and set(got[text]) <= {t[0] for t in exact}, text
