@@ -39,7 +39,7 @@ PIECES_PER_BUCKET = 20_000
 # ---- token ids
 
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_CACHE_ENTRIES, _CACHED_LENGTH = 500_000, 40
+_CACHE_ENTRIES, _CACHED_LENGTH = 150_000, 40
 
 
 class Encoder:
