@@ -39,7 +39,28 @@ PIECES_PER_BUCKET = 20_000
 # ---- token ids
 
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_CACHE_ENTRIES, _CACHED_LENGTH = 150_000, 40
+_PARTS, _WORDS, _CACHED_LENGTH = 200_000, 100_000, 40
+
+
+class Recent:
+    """The latest ``size`` to twice ``size`` entries: a full generation becomes the old one, from which used entries return."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        value = self.new.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(key) <= _CACHED_LENGTH:
+            if len(self.new) >= self.size:
+                self.old, self.new = self.new, {}
+            self.new[key] = value
 
 
 class Encoder:
@@ -58,17 +79,13 @@ class Encoder:
         if tokenizer.normalizer is not None:
             raise ValueError("parts of a text cannot be encoded apart where texts are normalised")
         self.split, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.parts, self.words = Recent(_PARTS), Recent(_WORDS)
 
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
             ids = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
-            if len(word) <= _CACHED_LENGTH:
-                if len(self.words) >= _CACHE_ENTRIES:
-                    self.words.clear()
-                self.words[word] = ids
+            self.words.put(word, ids)
         return ids
 
     def encode(self, part: str) -> bytes:
@@ -80,15 +97,12 @@ class Encoder:
         ids = self.parts.get(part)
         if ids is None:
             ids = self.encode(" " + part)
-            if len(part) <= _CACHED_LENGTH:
-                if len(self.parts) >= _CACHE_ENTRIES:
-                    self.parts.clear()
-                self.parts[part] = ids
+            self.parts.put(part, ids)
         return ids
 
     def ids(self, text: str) -> bytes:
         parts = text.split(" ")
-        found = list(map(self.parts.get, parts))
+        found = list(map(self.parts.new.get, parts))
         new = [i for i, ids in enumerate(found) if ids is None]
         # Parts next to other white space are never cached as such, so they always turn up here.
         if any(not (p := parts[i]) or p[0].isspace() or p[-1].isspace() for i in new):
