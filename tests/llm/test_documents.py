@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from marquee.llm import ann, html_text, lm_score, packing, quality, queries, simhash, substrings
@@ -189,6 +190,27 @@ def test_backoff_scores(spark, monkeypatch, part):
         assert r.backed_off == sum(pair[a, b] < 2 for a, b in zip([None, *w], w, strict=False))
 
 
+def test_backoff_gathers_no_hot_word(spark, monkeypatch):
+    from pyspark.sql.group import GroupedData
+
+    monkeypatch.setattr(lm_score, "WORDS_PER_PART", 3_000)
+    largest, apply = [], GroupedData.applyInArrow
+
+    def measured(self, *args):
+        entries = self._df.groupBy("part").agg(F.sum(F.length("ws") / lm_score.WIDTH).alias("n"))
+        largest.append(entries.agg(F.max("n")).first()[0])
+        return apply(self, *args)
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", measured)
+    # "hot" begins a fourth of all pairs, each seen four times; "cold" ends a fourth, each seen once.
+    docs = [(i, " ".join(f"hot a{(20 * i + j) % 2000} z{i}_{j} cold" for j in range(20))) for i in range(400)]
+    rows = lm_score.scores(frame(spark, docs)).collect()
+    assert max(largest) <= 6_000
+    hot, rare, cold, hot_again = 19 * math.log(7600 / 7600), 20 * math.log(0.4 / 32_000), 20 * math.log(0.4 * 8000 / 32_000), 20 * math.log(4 / 8000)
+    assert [r.score for r in rows] == pytest.approx([(hot + rare + cold + hot_again) / 80] * 400)
+    assert {r.backed_off for r in rows} == {40}
+
+
 # ---- quality
 
 
