@@ -42,7 +42,9 @@ INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
-SKIPPED = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|head|title|textarea|select|button"
+# Left out with what they hold; without an end tag, those of the first group take the rest of the page, as in browsers.
+SKIPPED_TO_END = "script|style|title|textarea"
+SKIPPED = "noscript|template|svg|math|iframe|object|canvas|audio|video|select|button"
 CONTENT = {"article", "main"}
 APART = {"nav", "footer", "aside", "form", "menu", "dialog", "header"}
 # Words in class, id and role names that speak against content.
@@ -54,7 +56,8 @@ APART_NAMES = set(
 )
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SKIPPED})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    rf"|<({SKIPPED_TO_END})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<({SKIPPED})(?=[\s/>])[^>]*>.*?</\2\s*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -121,7 +124,7 @@ def blocks(page: str) -> list[Block]:
     for token in _TOKEN.finditer(page):
         add(page[at : token.start()])
         at = token.end()
-        name = token.group(3)
+        name = token.group(4)
         if name is None:
             continue
         name = name.lower()
@@ -131,7 +134,7 @@ def blocks(page: str) -> list[Block]:
         block = name not in INLINE
         if block:
             flush()
-        if token.group(2):
+        if token.group(3):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == name:
                     del stack[i:]
@@ -142,7 +145,7 @@ def blocks(page: str) -> list[Block]:
             tags.append(name)
             if block and name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") or block and stack[-1].tag == "p":
                 _close(stack, name)
-            stack.append(_opened(stack[-1], name, token.group(4)))
+            stack.append(_opened(stack[-1], name, token.group(5)))
     add(page[at:])
     flush()
     return out
@@ -168,7 +171,7 @@ def _opened(parent: _Open, name: str, attributes: str) -> _Open:
         if words:
             apart = apart or not words.isdisjoint(APART_NAMES)
             around = around | {f"name {w}" for w in words}
-    if name not in CONTENT and name not in INLINE and name not in ("html", "body"):
+    if name not in CONTENT and name not in INLINE and name not in ("html", "head", "body"):
         around = around | {f"in {name}"}
     return _Open(name, around, apart, inside, parent.link or name == "a")
 

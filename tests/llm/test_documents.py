@@ -277,6 +277,20 @@ def test_extraction_of_other_layouts_and_edges(spark):
     assert html_text.extracted(pages.limit(0), html_text.train(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>t</title><body><article><p>Body words</p></article>", "Body words"),
+        ('<p>one <svg class="i"/> two</p><p>three</p>', "one two three"),
+        ("<p>one <svg><text>gone</text></svg> two</p>", "one two"),
+        ("<p>one</p><button>go<p>two</p>", "one go two"),
+        ("<p>one</p><script>two", "one"),
+    ],
+)
+def test_skipped_elements_take_no_more_than_their_own(page, want):
+    assert " ".join(b.text for b in html_text.blocks(page)) == want
+
+
 # ---- nearest neighbours
 
 
