@@ -44,4 +44,85 @@ select doc_id, size, source_size, target,
 from running
 """
 
-ORACLES: dict[str, str] = {"op9_source_mix": OP9}
+
+
+def _field(value: str, is_text: bool = False) -> str:
+    text = value if is_text else f"cast({value} as varchar)"
+    return f"coalesce(cast(strlen({text}) as varchar) || ':' || {text}, '-')"
+
+
+def _leaf(text: str) -> str:
+    head = [_field(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    return f"sha256({' || '.join([*head, _field(text, True)])})"
+
+
+# CRC-32 of the decimal digits, bit by bit; only its parity is used.
+_BITS = "flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: list_transform(range(8), lambda j: (ord(c) >> j) & 1)))"
+_CRC = (
+    f"xor(list_reduce(list_prepend(4294967295::bigint, {_BITS}::bigint[]), "
+    "lambda a, b: xor(a >> 1, 3988292384::bigint * (xor(a, b) & 1))), 4294967295::bigint)"
+)
+
+
+def _tree(name: str, leaves: str) -> str:
+    """All levels of the trees of ``leaves`` (tree, idx, h): three consecutive nodes become one, until one is left."""
+    return f"""
+{name} as (
+  select tree, 0 as lv, idx, h from {leaves}
+  union all
+  select tree, lv + 1, idx // 3, sha256(string_agg(h, '' order by idx))
+  from (select *, count(*) over (partition by tree) as n from {name})
+  where n > 1 group by tree, lv, idx // 3
+)"""
+
+
+def _witness(name: str, leaves: str, tree: str) -> str:
+    """Siblings before and after each leaf's subtree, by level."""
+    return f"""
+{name} as (
+  select l.id, t.lv,
+         coalesce(string_agg(t.h, '' order by t.idx) filter (t.idx < l.idx // cast(pow(3, t.lv) as bigint)), '') as lefts,
+         coalesce(string_agg(t.h, '' order by t.idx) filter (t.idx > l.idx // cast(pow(3, t.lv) as bigint)), '') as rights
+  from {leaves} l join {tree} t
+    on t.tree = l.tree and t.idx // 3 = l.idx // cast(pow(3, t.lv) as bigint) // 3
+   and t.lv < (select max(lv) from {tree} x where x.tree = l.tree)
+  group by l.id, t.lv
+)"""
+
+
+OP11 = f"""
+with recursive docs as (
+  select row_number() over () as id, doc_id, coalesce('=' || source, '') as tree,
+         {_leaf('text')} as h,
+         {_leaf("case when " + _CRC + " % 2 = 0 then replace(text, chr(10), '') else text end")} as changed
+  from documents
+), leaves as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, h, id) - 1 as idx from docs
+), {_tree('nodes', 'leaves')}, subroots as (
+  select tree as source, h from nodes n
+  where lv = (select max(lv) from nodes x where x.tree = n.tree)
+), sources as (
+  select source as id, '' as tree, h, row_number() over (order by encode(source)) - 1 as idx from subroots
+), {_tree('tops', 'sources')}, {_witness('below', 'leaves', 'nodes')}, {_witness('above', 'sources', 'tops')},
+steps as (
+  select id, lv, lefts, rights from below
+  union all
+  select l.id, 1000 + a.lv, a.lefts, a.rights from leaves l join above a on a.id = l.tree
+), proofs as (
+  select id, string_agg(lefts || rights, '' order by lv) as siblings,
+         list(struct_pack(a := lefts, b := rights) order by lv) as path
+  from steps group by id
+), folded as (
+  select id, 0 as done, changed as h, path from leaves left join proofs using (id)
+  union all
+  select id, done + 1, sha256(path[done + 1].a || h || path[done + 1].b), path from folded where done < len(path)
+), ends as (
+  select id, h from folded where done = coalesce(len(path), 0)
+)
+select doc_id, leaves.h as leaf, subroots.h as subroot, root.h as root,
+       sha256(coalesce(siblings, '')) as proof_sha256, ends.h as folded_root, ends.h = root.h as verified
+from leaves join subroots on subroots.source = leaves.tree join ends using (id) left join proofs using (id)
+join (select h from tops where lv = (select max(lv) from tops)) root on true
+"""
+
+ORACLES: dict[str, str] = {"op9_source_mix": OP9, "op11_merkle_manifest": OP11}

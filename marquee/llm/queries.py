@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import ann, html_text, lm_score, mixing, packing, pii, quality, simhash, sketch, substrings
+from marquee.llm import ann, html_text, lm_score, merkle, mixing, packing, pii, quality, simhash, sketch, substrings
 from marquee.llm.common import table
 
 
@@ -69,6 +69,27 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampers = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(tampers, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = merkle.leaf_hash(*head, tampered)
+    found = merkle.manifest(
+        table(spark, sf_dir, "documents"),
+        group=F.col("source"),
+        order=F.col("doc_id"),
+        leaf=merkle.leaf_hash(*head, F.col("text")),
+        row=F.struct("doc_id", changed.alias("changed")),
+    )
+    folded = found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        *[F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        merkle.proof_hash("witness").alias("proof_sha256"),
+        merkle.folded_root("row.changed", "witness").alias("folded_root"),
+    )
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_quality_classifier": op2_quality_classifier,
@@ -80,4 +101,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_source_mix": op9_source_mix,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
