@@ -125,4 +125,30 @@ from leaves join subroots on subroots.source = leaves.tree join ends using (id)
 join (select h from tops where lv = (select max(lv) from tops)) root on true
 """
 
-ORACLES: dict[str, str] = {"op9_source_mix": OP9, "op11_merkle_manifest": OP11}
+OP13 = """
+with v as (
+  select row_number() over () as rid, vec_id,
+         case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: coalesce(not isfinite(x), true))) = 0
+), pairs as (
+  select a.rid as anchor_rid, a.vec_id as anchor_id, v.vec_id, a.label = v.label as same,
+         list_dot_product(a.e, v.e)::bigint as score
+  from v a join v on a.rid <> v.rid and len(a.e) = len(v.e) where a.vec_id % 100 = 0
+), positives as (
+  select *, row_number() over (partition by anchor_rid order by score desc, vec_id) as place
+  from pairs where same qualify place <= 5
+), found as (
+  select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score,
+         n.score as negative_score,
+         row_number() over (partition by p.anchor_rid, p.place order by n.score desc, n.vec_id) as rank
+  from positives p join pairs n on n.anchor_rid = p.anchor_rid and not n.same
+   and 80 * p.score <= 100 * n.score and n.score <= p.score
+)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score
+from found where rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op9_source_mix": OP9, "op11_merkle_manifest": OP11, "op13_hard_negatives": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import ann, html_text, lm_score, merkle, mixing, packing, pii, quality, simhash, sketch, substrings
+from marquee.llm import ann, html_text, lm_score, merkle, mixing, negatives, packing, pii, quality, simhash, sketch, substrings
 from marquee.llm.common import table
 
 
@@ -90,6 +90,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings")
+    rows = negatives.stored(vectors, F.col("vec_id"), label, F.col("embedding"), scale=256.0)
+    return negatives.mine(rows, is_anchor=F.col("vec_id") % 100 == 0, positives=5, negatives=5, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_quality_classifier": op2_quality_classifier,
@@ -102,4 +109,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mix": op9_source_mix,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_hard_negatives": op13_hard_negatives,
 }
