@@ -151,4 +151,41 @@ select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_
 from found where rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op9_source_mix": OP9, "op11_merkle_manifest": OP11, "op13_hard_negatives": OP13}
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP12 = f"""
+with docs as (
+  select row_number() over () as id, doc_id, coalesce({_WORDS}, []) as words from documents
+), items as (
+  select cast(item_id as varchar) as item, {_WORDS} as words from benchmark where item_id is not null and text is not null
+), windows as (
+  select distinct item, list_slice(words, i, i + 9) as window_words
+  from (select item, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) as i from items where len(words) > 0)
+), lengths as (
+  select distinct len(window_words) as length from windows
+), places as (
+  select id, length, words, unnest(range(1, len(words) - length + 2)) as place
+  from docs, lengths where len(words) >= length
+), hits as (
+  select id, place, length, item
+  from (select id, place, length, list_slice(words, place, place + length - 1) as window_words from places)
+  join windows using (window_words)
+), covered as (
+  select id, count(distinct word) as n_hit
+  from (select id, unnest(range(place, place + length)) as word from (select distinct id, place, length from hits)) group by id
+), held as (
+  select id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct id, item from hits) group by id
+)
+select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+from docs left join covered using (id) left join held using (id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op9_source_mix": OP9,
+    "op11_merkle_manifest": OP11,
+    "op12_benchmark_decontamination": OP12,
+    "op13_hard_negatives": OP13,
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import ann, html_text, lm_score, merkle, mixing, negatives, packing, pii, quality, simhash, sketch, substrings
+from marquee.llm import ann, contamination, html_text, lm_score, merkle, mixing, negatives, packing, pii, quality, simhash, sketch, substrings
 from marquee.llm.common import table
 
 
@@ -90,6 +90,19 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = contamination.windows(table(spark, sf_dir, "benchmark"), F.col("item_id"), F.col("text"))
+    found = contamination.scanned(table(spark, sf_dir, "documents"), F.col("text"), F.col("doc_id"), windows)
+    return found.select(
+        F.col("row").alias("doc_id"),
+        "n_words",
+        contamination.n_hit().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = table(spark, sf_dir, "embeddings")
@@ -109,5 +122,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mix": op9_source_mix,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_benchmark_decontamination": op12_benchmark_decontamination,
     "op13_hard_negatives": op13_hard_negatives,
 }
