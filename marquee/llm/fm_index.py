@@ -19,7 +19,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     count = int(ends.sum())
     rank = np.where(ends, np.cumsum(ends) - 1, symbols.astype(np.int64) + count - 1)
     bits = max(1, int(count + symbols.max(initial=0)).bit_length())
-    reach = max(1, 62 // bits)
+    reach = min(n, max(1, 62 // bits))
     key = np.zeros(n, np.int64)
     for ahead in range(reach):
         key <<= bits
