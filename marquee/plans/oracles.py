@@ -386,14 +386,29 @@ ORACLES["top_titles"] = f"WITH {_LINES}, " + _top_and_others(
     " FROM lines WHERE title <> '' GROUP BY ALL"
 )
 
-ORACLES["ngram_length_hist"] = f"""
-WITH {_CATALOG}, {_TITLE_POSTINGS}, g AS (SELECT DISTINCT ngram FROM postings)
-SELECT length(ngram) AS length, count(*) AS count FROM g GROUP BY ALL
+# Neighbours in the order of all suffixes: the beginnings a suffix shares with the one before are counted there.
+_STEPS = [2**n for n in range(15, -1, -1)]
+_LCP = ", ".join(
+    f"l{n} AS (SELECT a, b, n, shared + CASE WHEN least(n, length(b)) >= shared + {n} AND substring(a, shared + 1, {n}) "
+    f"= substring(b, shared + 1, {n}) THEN {n} ELSE 0 END AS shared FROM {'pairs' if n == _STEPS[0] else f'l{2 * n}'})"
+    for n in _STEPS
+)
+_NGRAM_LENGTHS = f"""
+texts AS (SELECT DISTINCT text FROM (SELECT {_stem("title")} AS text FROM lines) WHERE text <> ''),
+suffixes AS (SELECT substring(text, unnest(range(1, length(text) + 1))) AS a FROM texts),
+pairs AS (SELECT a, length(a) AS n, coalesce(lag(a) OVER (ORDER BY a), '') AS b, 0 AS shared FROM suffixes),
+{_LCP},
+changes AS (
+  SELECT length, sum(n) AS n
+  FROM (SELECT n AS length, 1 AS n FROM l1 UNION ALL SELECT shared, -1 FROM l1 WHERE shared > 0) GROUP BY length),
+lengths AS (SELECT length, CAST(sum(n) OVER (ORDER BY length DESC) AS BIGINT) AS count FROM changes)
 """
 
+ORACLES["ngram_length_hist"] = f"WITH {_LINES}, {_NGRAM_LENGTHS} SELECT length, count FROM lengths"
+
 ORACLES["catalog_counts"] = f"""
-WITH {_CATALOG}, {_TITLE_POSTINGS}
-SELECT (SELECT count(*) FROM cat) AS movies, count(DISTINCT ngram) AS ngrams FROM postings
+WITH {_LINES}, {_NGRAM_LENGTHS}
+SELECT (SELECT count(*) FROM lines) AS movies, CAST(sum(count) AS BIGINT) AS ngrams FROM lengths
 """
 
 ORACLES["partition_rows"] = "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(16 AS BIGINT) AS partitions FROM orders"

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from marquee.constants import LISTING_LINK_CLASS
 from marquee.functions.fields import anchor_links, first_number
 from marquee.functions.text import content_words, stem, tokens
-from marquee.operators import catalog, crawl, evaluate, extract, predict, requests, search, stats
-from marquee.operators.index import build_postings, ranked_postings, save_index
+from marquee.operators import catalog, crawl, evaluate, extract, predict, requests, search, stats, suffixes
+from marquee.operators.index import build_postings, ranked_postings, save_index, stemmed_titles
 from marquee.operators.variants import variants
 from marquee.plans import views
 from marquee.plans.views import SITE, table
@@ -267,13 +267,15 @@ def top_titles(spark, d):
 
 @query
 def ngram_length_hist(spark, d):
-    return stats.ngram_length_histogram(build_postings(_catalog(spark, d), INDEXED_LENGTHS))
+    """Distinct substrings of every length of every title, whole."""
+    return suffixes.ngram_lengths(stemmed_titles(_catalog(spark, d)))
 
 
 @query
 def catalog_counts(spark, d):
+    """How many titles, and how many distinct substrings of any length."""
     titles = _catalog(spark, d)
-    return stats.catalog_counts(titles, build_postings(titles, INDEXED_LENGTHS))
+    return stats.catalog_counts(titles, suffixes.ngram_lengths(stemmed_titles(titles)))
 
 
 @query

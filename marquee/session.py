@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "marquee", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,3 +49,11 @@ def _local_folder() -> str:
     folder = tempfile.mkdtemp(prefix="marquee-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` below the folder the cluster shares; later steps read it, partition by partition."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(scratch_path(df.sparkSession, "checkpoint"))
+    return df.checkpoint()

@@ -21,7 +21,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
         "search_fuzzy_reference", "search_saved_index", "train_probs", "predict_genre", "accuracy",
         "top_titles", "page_links", "page_records", "crawl_records", "request_dispatch",
         "stream_telemetry", "stream_extract", "stream_requests", "discover_reference", "seed_pages",
-        "merged_dump", "dump_quarantine", "crawl_events", "catalog_counts", "predict_stored_model",
+        "merged_dump", "dump_quarantine", "crawl_events", "catalog_counts", "ngram_length_hist", "predict_stored_model",
     ],
 )
 def test_query_equals_sql(spark, name):

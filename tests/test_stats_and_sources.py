@@ -29,8 +29,9 @@ def test_index_statistics(spark):
     postings = build_postings(catalog)
     lengths = {r.length: r["count"] for r in stats.ngram_length_histogram(postings).collect()}
     assert lengths == {1: 2, 2: 2, 3: 2, 4: 1}
-    assert [tuple(r) for r in stats.catalog_counts(catalog, postings).collect()] == [(3, 7)]
-    assert stats.catalog_counts(catalog, postings, approximate=True).first().ngrams > 0
+    histogram = stats.ngram_length_histogram(postings)
+    assert [tuple(r) for r in stats.catalog_counts(catalog, histogram).collect()] == [(3, 7)]
+    assert stats.approximate_ngrams(postings).first().ngrams > 0
     counted = stats.partition_rows(spark.range(100), 5, "id").collect()
     assert sum(r.rows for r in counted) == 100 and len(counted) <= 5
 
