@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,12 @@ MOST_PASSES = 16
 _ROW_OVERHEAD = 64
 
 
+class Index(Protocol):
+    """A stored index of titles."""
+
+    def lookup(self, ngrams: DataFrame, top_k: int) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class BatchSize:
     """What one small aggregation tells about a batch: lengths and upper bounds of its size."""
@@ -56,16 +63,17 @@ def request_texts(requests: DataFrame) -> DataFrame:
     return texts.filter(F.col("text") != "").distinct().repartition(tasks)
 
 
-def batch_size(texts: DataFrame, max_dist: int) -> BatchSize:
+def batch_size(texts: DataFrame) -> BatchSize:
+    """The size of a batch of ``(text, dist)``."""
     size = F.length("text")
-    walks = F.pow(size * EDITS_PER_POSITION + 1, F.lit(max_dist))
+    walks = F.pow(size * EDITS_PER_POSITION + 1, F.col("dist"))
     per_text = walks * (F.octet_length("text") + _ROW_OVERHEAD)
     row = texts.agg(
         F.count("*").alias("texts"),
-        F.collect_set(size).alias("lengths"),  # at most one entry per message length
+        F.collect_set(F.struct(size.alias("n"), "dist")).alias("lengths"),  # a few per message length
         F.sum(per_text).alias("bytes"),
     ).first()
-    near = {n + d for n in row["lengths"] for d in range(-max_dist, max_dist + 1)}
+    near = {n + d for n, dist in row["lengths"] for d in range(-dist, dist + 1)}
     lengths = sorted(n for n in near if n > 0)
     return BatchSize(row["texts"], max(lengths, default=0), lengths, row["bytes"] or 0.0)
 
@@ -75,18 +83,27 @@ def candidates(
     catalog: DataFrame,
     max_res: int = SEARCH_RESULTS,
     max_dist: int = SEARCH_DISTANCE,
-    postings: DataFrame | None = None,
+    postings: DataFrame | Index | None = None,
+    exact: DataFrame | None = None,
 ) -> tuple[DataFrame, BatchSize]:
     """``(text, movie_id, rank, visit)``: for each text the best titles of each of its variants.
 
     The ``max_res`` best titles of each variant are enough for every form of answer, so a text
     never has more than ``max_res`` rows per variant, however frequent the variant is.
+    ``exact`` are further requests, looked up as they are (visit 0) in the same pass.
     """
     texts = request_texts(requests)
-    size = batch_size(texts, max_dist)
-    wanted = variants(texts, max_dist)
+    sized, wanted = texts.withColumn("dist", F.lit(max_dist)), variants(texts, max_dist)
+    if exact is not None:
+        plain = request_texts(exact)
+        sized = sized.unionByName(plain.withColumn("dist", F.lit(0)))
+        both = wanted.unionByName(variants(plain, 0))
+        wanted = both.groupBy("text", "ngram").agg(F.min("visit").alias("visit"))
+    size = batch_size(sized)
     if not size.lengths:
         found = catalog.filter(F.lit(False)).select(F.lit("").alias("ngram"), "movie_id", "rank")
+    elif postings is not None and not isinstance(postings, DataFrame):
+        found = postings.lookup(wanted.select("ngram").distinct(), max_res)
     elif postings is not None:
         found = postings.filter(F.length("ngram").isin(size.lengths))
         if "length" in postings.columns:
@@ -197,7 +214,7 @@ def search(
     max_dist: int = SEARCH_DISTANCE,
     eviction: str = "best",
     gate: bool = True,
-    postings: DataFrame | None = None,
+    postings: DataFrame | Index | None = None,
 ) -> DataFrame:
     """The best titles of each request ``(query_id, input)``.
 
@@ -206,19 +223,35 @@ def search(
     Returns ``(query_id, input, pos, movie_id, rank, title, local_cover, director, date)``.
     """
     hits, size = candidates(requests, catalog, max_res, max_dist, postings)
-    answers = rank_answers(hits, max_res, eviction, gate and max_dist > 0)
+    return discovered(requests, hits, size, catalog, max_res, eviction, gate and max_dist > 0)
+
+
+def discovered(
+    requests: DataFrame,
+    hits: DataFrame,
+    size: BatchSize,
+    catalog: DataFrame,
+    max_res: int = SEARCH_RESULTS,
+    eviction: str = "best",
+    gate: bool = True,
+) -> DataFrame:
+    """The answers of ``search`` from the candidates of a batch that has these requests."""
+    answers = rank_answers(hits, max_res, eviction, gate)
     titles = catalog.select("movie_id", "title", "local_cover", "director", "date")
     found = attach(answers, titles, size.answers_fit(max_res))
     return to_requests(requests.select("query_id", "input"), found)
 
 
 def search_detail(
-    requests: DataFrame, catalog: DataFrame, postings: DataFrame | None = None
+    requests: DataFrame, catalog: DataFrame, postings: DataFrame | Index | None = None
 ) -> DataFrame:
     """All public fields of the best title that contains the text of a request."""
     hits, size = candidates(requests, catalog, 1, 0, postings)
-    if postings is not None:
-        hits = _best(hits, 1)
-    answers = hits.select("text", "movie_id", F.lit(1).alias("pos"))
+    return detailed(requests, hits, size, catalog)
+
+
+def detailed(requests: DataFrame, hits: DataFrame, size: BatchSize, catalog: DataFrame) -> DataFrame:
+    """The answers of ``search_detail`` from the candidates of a batch that has these requests."""
+    answers = _best(hits.filter("visit = 0"), 1).select("text", "movie_id", "pos")
     found = attach(answers, detail(catalog), size.answers_fit(1)).drop("pos")
     return to_requests(requests.select("query_id", "input"), found)

@@ -567,4 +567,6 @@ FROM events GROUP BY ALL
 ORACLES["stream_telemetry"] = ORACLES["telemetry_counts"]
 
 ORACLES["search_stored_titles"] = ORACLES["search_discover"]
+ORACLES["search_from_index"] = ORACLES["search_discover"]
+ORACLES["index_add"] = ORACLES["search_exact"]
 ORACLES["predict_stored_model"] = ORACLES["predict_genre"]

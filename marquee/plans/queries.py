@@ -430,11 +430,35 @@ def _library(spark, d):
     return requests.Library(titles, predict.train(titles))
 
 
+_LIBRARIES: dict[tuple[str, str], str] = {}
+
+
 def _stored_library(spark, d):
-    """Titles and model, built once and read back."""
-    path = scratch_path(spark, "library")
-    requests.build_library(_catalog(spark, d), path)
-    return requests.load_library(spark, path)
+    """Titles, their index and model, built once in a session and read back."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _LIBRARIES:
+        path = scratch_path(spark, "library")
+        requests.build_library(_catalog(spark, d), path)
+        _LIBRARIES[key] = path
+    return requests.load_library(spark, _LIBRARIES[key])
+
+
+@query
+def search_from_index(spark, d):
+    """Discover requests answered from the stored index of all titles."""
+    library = _stored_library(spark, d)
+    return search.search(_words(spark, d), library.catalog, postings=library.postings).select(*_ANSWER)
+
+
+@query
+def index_add(spark, d):
+    """Exact search in a library that was built from most titles, and got the others, and all of them again."""
+    titles, path = _catalog(spark, d), scratch_path(spark, "grown")
+    requests.build_library(titles.filter("movie_id % 10 <> 0"), path)
+    requests.build_library(titles.filter("movie_id % 10 = 0"), path)
+    requests.build_library(titles, path)
+    library = requests.load_library(spark, path)
+    return search.search(_words(spark, d), library.catalog, max_dist=0, postings=library.postings).select(*_ANSWER)
 
 
 @query
