@@ -9,7 +9,7 @@ from marquee.constants import LISTING_LINK_CLASS
 from marquee.functions import fields
 from marquee.operators.extract import extract_pages
 from marquee.operators.skew import repeat_rows
-from marquee.sources.archive import fetch
+from marquee.sources.archive import StoredArchive, fetch
 
 
 def page_links(
@@ -23,7 +23,7 @@ def page_links(
     ).withColumn("url", F.concat(F.lit(prefix), F.col("link"))).drop("link")
 
 
-def crawl(seeds: DataFrame, archive: DataFrame, site: str) -> DataFrame:
+def crawl(seeds: DataFrame, archive: DataFrame | StoredArchive, site: str) -> DataFrame:
     """Extracted film pages of all links on the listing pages, one row per link.
 
     A film is read once however many links lead to it, and repeated afterwards.

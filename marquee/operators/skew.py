@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.session import settle
+
 SALTS = 8
 COPIES_PER_PIECE = 10_000
 
@@ -33,7 +35,11 @@ def salted_join(
 
 
 def repeat_rows(df: DataFrame, copies: str) -> DataFrame:
-    """Each row ``copies`` times. Only large counts are cut into pieces that are spread out first."""
+    """Each row ``copies`` times. Only large counts are cut into pieces that are spread out first.
+
+    The rows are settled, as both kinds are taken from them.
+    """
+    df = settle(df)
     single = df.filter(F.col(copies) == 1).drop(copies)
     return single.unionByName(_spread_copies(df.filter(F.col(copies) > 1), copies))
 

@@ -498,7 +498,7 @@ UNION ALL SELECT 'DIRECTORIES', count(*) FROM documents
 
 ORACLES["merged_dump"] = f"""
 WITH {_DUMP}
-SELECT count(*) AS records, CAST(sum(movie_id % 1000) AS BIGINT) AS ids, CAST(1 AS BIGINT) AS files,
+SELECT count(*) AS records, CAST(sum(movie_id % 1000) AS BIGINT) AS ids, CAST(0 AS BIGINT) AS out_of_order,
   CAST(0 AS BIGINT) AS broken FROM dump
 """
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marquee.constants import LISTING_LINK_CLASS
@@ -19,7 +19,7 @@ from marquee.schema import ARCHIVE, REQUESTS, TELEMETRY
 from marquee.session import scratch_path
 from marquee.sources import catalog_io, values
 from marquee.sources import telemetry
-from marquee.sources.archive import fetch, seed_urls
+from marquee.sources.archive import fetch, seed_urls, store_archive
 from marquee.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,7 +360,7 @@ def crawl_records(spark, d):
     documents = _documents(spark, d)
     seeds = documents.select((F.col("doc_id") + 1).alias("page_no"))
     seeds = seeds.select("page_no", views.listing_url(SITE, F.col("page_no")).alias("url"))
-    found = extract.records(crawl.crawl(seeds, views.archive(documents), SITE))
+    found = extract.records(crawl.crawl(seeds, store_archive(views.archive(documents)), SITE))
     return found.select("url", "status", "title", "trailer", "rank")
 
 
@@ -378,17 +378,25 @@ def crawl_events(spark, d):
 
 @query
 def merged_dump(spark, d):
-    """The dump merged into a single file and read back, ids included."""
+    """The dump merged into one in order of ids, and read back: do its files follow one another?"""
     path = scratch_path(spark, "merged")
-    catalog_io.write_dump(_dump(spark, d), path, single_file=True)
+    catalog_io.write_dump(_dump(spark, d), path, merged=True)
     records, broken = catalog_io.read_dump(spark, path)
-    left = broken.select(F.lit(None).cast("long").alias("movie_id"), F.lit(None).cast("string").alias("file"))
+    left = broken.select(F.lit(None).cast("long").alias("movie_id"), F.lit("").alias("file"))
     rows = records.select("movie_id", F.input_file_name().alias("file")).union(left)
-    return rows.agg(
+    files = rows.groupBy("file").agg(
         F.count("movie_id").alias("records"),
         F.sum(F.col("movie_id") % 1000).alias("ids"),
-        F.countDistinct("file").alias("files"),
         F.count_if(F.col("movie_id").isNull()).alias("broken"),
+        F.min("movie_id").alias("first"),
+        F.max("movie_id").alias("last"),
+    )
+    before = F.lag("last").over(Window.orderBy("file"))  # one row a file
+    return files.withColumn("before", before).agg(
+        F.sum("records").alias("records"),
+        F.sum("ids").alias("ids"),
+        F.count_if(F.col("first") < F.col("before")).alias("out_of_order"),
+        F.sum("broken").alias("broken"),
     )
 
 
@@ -525,13 +533,15 @@ def stream_requests(spark, d):
 
 @query
 def stream_extract(spark, d):
-    """Film pages extracted from a stream of page files."""
+    """Film pages extracted from a stream of page files, one file a batch; every third page arrives twice."""
     source, sink = scratch_path(spark, "pages"), scratch_path(spark, "records")
     documents = _documents(spark, d)
-    views.film_pages(documents).write.parquet(source)
+    pages = views.film_pages(documents)
+    again = pages.filter(F.pmod(F.xxhash64("url"), F.lit(3)) == 0)
+    pages.unionByName(again).repartition(3, F.xxhash64("url", F.rand(1))).write.parquet(source)
     jobs.extract_stream(
-        jobs.file_stream(spark, source, ARCHIVE),
-        views.archive(documents),
+        jobs.file_stream(spark, source, ARCHIVE, files_per_batch=1),
+        store_archive(views.archive(documents)),
         SITE,
         sink,
         scratch_path(spark, "progress"),

@@ -40,19 +40,19 @@ def read_dump(
     )
 
 
-def write_dump(records: DataFrame, path: str, single_file: bool = False) -> None:
-    """Records as JSON lines, replacing an earlier dump. ``single_file`` is for small exports."""
+def write_dump(records: DataFrame, path: str, merged: bool = False) -> None:
+    """Records as JSON lines, replacing an earlier dump.
+
+    ``merged`` makes parts of any number one ordered dump: each task writes a range of ids, sorted, and the names of the
+    files are in the order of their ranges, so to read them one after another is to read the whole in order.
+    """
     ids = [c for c in ("movie_id",) if c in records.columns]
     rows = records.select(*ids, *[f.name for f in CATALOG.fields])
-    if single_file:
-        rows = rows.coalesce(1)
+    if merged:
+        rows = rows.repartitionByRange("movie_id").sortWithinPartitions("movie_id")
     rows.write.mode("overwrite").json(path)
 
 
-def write_catalog(catalog: DataFrame, path: str) -> None:
-    catalog.write.mode("overwrite").parquet(path)
-
-
 def dry_run(df: DataFrame) -> None:
     """Computes every row and keeps none."""
     df.write.format("noop").mode("overwrite").save()

@@ -49,7 +49,7 @@ def test_dump_round_trip(spark, tmp_path):
     records = dump(spark, record(actors=[None, "B"], synopsis="é\n\"q\""), record(title="two", genre=[]))
     path = str(tmp_path / "dump")
     catalog_io.write_dump(records, path)
-    catalog_io.write_dump(records, path, single_file=True)
+    catalog_io.write_dump(records, path, merged=True)
     back, quarantine = catalog_io.read_dump(spark, path)
     rows = [tuple(r)[1:] for r in back.orderBy("movie_id").collect()]
     assert rows == [tuple(r)[1:] for r in records.orderBy("movie_id").collect()]
