@@ -5,23 +5,25 @@
 2. The pieces are counted by length. That histogram has as many rows as a sequence has tokens, whatever the corpus,
    and it is all that the plan is made from.
 3. The plan (``complete``): around the largest length still there, enumerate the undominated fillings of the rest
-   of the sequence and branch over them, best fit first, each as often as the counts allow. A branch ends when its
-   waste exceeds what the best plan so far leaves. Best fit decreasing is the first incumbent.
+   of the sequence and branch over them, best fit first, each as often as the counts allow, then less often. A branch
+   ends when its waste exceeds what the best plan so far leaves. Best fit decreasing is the first incumbent. The search
+   is whole: if it ends before its ``steps`` are used up, or meets the bound, the plan is ``proven`` the best.
 4. Each piece finds its number among the pieces of its length and, by it, its place in the plan. Numbers are given
    within buckets of a length, whose sizes are summed up first; a length with many pieces has many buckets.
 
 Defined results: null and empty texts have one piece with the end id alone. Repeated rows are packed as often as
-they occur. Special token strings in a text are ordinary text. An empty table gives an empty result; other columns
-are not carried along.
+they occur. Added tokens in a text get their own ids, as ``Tokenizer.encode`` has it. An empty table gives an empty
+result; other columns are not carried along.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,81 +40,58 @@ PIECES_PER_BUCKET = 20_000
 
 # ---- token ids
 
-_SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_PARTS, _WORDS, _CACHED_LENGTH = 200_000, 100_000, 40
+#: How byte-level vocabularies split a text into words.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class Recent:
-    """The latest ``size`` to twice ``size`` entries: a full generation becomes the old one, from which used entries return."""
+def _byte_of() -> dict[str, int]:
+    """The byte of each character that byte-level vocabularies are written in: printable ones stand for themselves."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
-    def __init__(self, size: int):
-        self.size = size
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
-    def get(self, key: str) -> bytes | None:
-        value = self.new.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
-        return value
+def _plain_encoder(definition: dict) -> Callable[[str], np.ndarray] | None:
+    """A fast encoder of texts without added tokens for a plain byte-level vocabulary; None for any other.
 
-    def put(self, key: str, value: bytes) -> None:
-        if len(key) <= _CACHED_LENGTH:
-            if len(self.new) >= self.size:
-                self.old, self.new = self.new, {}
-            self.new[key] = value
+    Such a vocabulary numbers its words in the order in which they are merged, so merging by number gives the same ids.
+    """
+    model, words = definition["model"], definition["pre_tokenizer"] or {}
+    options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+    if model.get("type") != "BPE" or any(model.get(o) for o in options) or definition["normalizer"]:
+        return None
+    if words.get("type") != "ByteLevel" or words.get("add_prefix_space") or not words.get("use_regex", True):
+        return None
+    byte_of = _byte_of()
+    added = {t["content"] for t in definition["added_tokens"]}
+    ranks = {bytes(map(byte_of.get, w)): i for w, i in model["vocab"].items() if w not in added}
+    pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+    if [model["vocab"].get(a + b) for a, b in pairs] != list(range(256, 256 + len(model["merges"]))):
+        return None
+    if sorted(ranks.values()) != list(range(len(ranks))) or any(len(w) > 1 for w, i in ranks.items() if i < 256):
+        return None
+    from tiktoken import Encoding
+
+    fast = Encoding("plain", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: fast.encode_to_numpy(text, disallowed_special=())
 
 
 class Encoder:
-    """Token ids of a text as little-endian unsigned 32-bit bytes.
-
-    The vocabulary's words never run across a single space between two other characters: the space begins the next
-    word. So a text is cut there. A part seen before comes from a bounded cache; a new one is split into the
-    vocabulary's words, which have a cache of their own, as most new parts are known words with other punctuation.
-    """
+    """Token ids of a text, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        if tokenizer.normalizer is not None:
-            raise ValueError("parts of a text cannot be encoded apart where texts are normalised")
-        self.split, self.model = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model
-        self.parts, self.words = Recent(_PARTS), Recent(_WORDS)
-
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
-            self.words.put(word, ids)
-        return ids
-
-    def encode(self, part: str) -> bytes:
-        """Of a text by itself."""
-        return b"".join([self._word(w) for w, _ in self.split(part)])
-
-    def later(self, part: str) -> bytes:
-        """Of a part that follows a space."""
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = self.encode(" " + part)
-            self.parts.put(part, ids)
-        return ids
+        self.whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.plain = _plain_encoder(json.loads(tokenizer.to_str())) or self.whole
 
     def ids(self, text: str) -> bytes:
-        parts = text.split(" ")
-        found = list(map(self.parts.new.get, parts))
-        new = [i for i, ids in enumerate(found) if ids is None]
-        # Parts next to other white space are never cached as such, so they always turn up here.
-        if any(not (p := parts[i]) or p[0].isspace() or p[-1].isspace() for i in new):
-            parts = _SINGLE_SPACE.split(text)
-            return self.encode(parts[0]) + b"".join(map(self.later, parts[1:]))
-        for i in new:
-            if i:
-                found[i] = self.later(parts[i])
-        found[0] = self.encode(parts[0])
-        return b"".join(found)
+        """Little-endian unsigned 32-bit ids. A text with an added token in it takes the tokenizer's own way."""
+        encode = self.whole if any(t in text for t in self.added) else self.plain
+        return np.asarray(encode(text), "<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -157,9 +136,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
 @dataclass
 class Plan:
-    """Fillings with the number of sequences that get each; ``sequences`` in all."""
+    """Fillings with the number of sequences that get each; ``sequences`` in all; ``proven`` if none needs fewer."""
 
     fillings: list[tuple[tuple[int, ...], int]]
+    proven: bool = False
 
     @property
     def sequences(self) -> int:
@@ -199,95 +179,93 @@ def _largest(counts: np.ndarray, most: int, used: Counter) -> int:
     return 0
 
 
-def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether the pieces of ``b`` can be put into the pieces of ``a``."""
-    if not b:
-        return True
-    head, rest = b[0], b[1:]
-    tried = set()
-    for i, room in enumerate(a):
-        if room >= head and room not in tried:
-            tried.add(room)
-            left = (*a[:i], room - head, *a[i + 1 :])
-            if dominates(left, rest):
-                return True
-    return False
+class Steps:
+    """What is left of the steps that a search may take."""
+
+    def __init__(self, most: int):
+        self.left = most
+
+    def take(self, cost: int = 1) -> bool:
+        self.left -= cost
+        return self.left >= 0
 
 
-def fillings(counts: np.ndarray, first: int, capacity: int, most: int = 4) -> list[tuple[int, ...]]:
-    """Undominated ways to fill up a sequence that holds ``first``, fullest first, of up to three more pieces.
+def _dominated(filling: list[int], room: int, free: list[int]) -> bool:
+    """Whether one of the ``free`` pieces (ascending) could take the place of up to two pieces and what is unused.
 
-    Where three pieces leave room, the best fit is added to each. One piece that fills the rest exactly dominates
-    every other filling.
+    Every such filling can do without: the piece could be exchanged for those it replaces in any plan.
     """
-    room = capacity - first
-    used = Counter([first])
-    one = _largest(counts, room, used)
-    if not one:
-        return [()]
-    if one == room:
-        return [(one,)]
-    sizes = (np.flatnonzero(counts[1 : room + 1]) + 1)[::-1]
-    found = {(one,)}
-    exact = 0
-    for a in sizes[:400].tolist():
-        if counts[a] <= used[a] or exact >= most:
-            continue
-        b = _largest(counts, min(a, room - a), used + Counter([a])) if a < room else 0
-        if b:
-            found.add((a, b))
-            exact += a + b == room
-    if not exact:
-        for a, b in sorted((f for f in found if len(f) == 2), key=sum, reverse=True)[:40]:
-            use, rest, more = used + Counter([a, b]), room - a - b, []
-            while rest and (c := _largest(counts, rest, use)):
-                more.append(c)
-                use[c] += 1
-                rest -= c
-            found.add(tuple(sorted((a, b, *more), reverse=True)))
-    ranked = sorted(found, key=lambda f: (-sum(f), len(f), [-s for s in f]))[: 4 * most]
-    kept: list[tuple[int, ...]] = []
-    for f in ranked:
-        if len(kept) < most and not any(len(f) <= 8 and len(k) <= 8 and dominates(k, f) for k in kept):
-            kept.append(f)
-    return kept
-
-
-def complete(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 20_000) -> Plan:
-    """Bin completion, depth first with an explicit stack; ``nodes`` bounds the search, not the plan's quality alone:
-
-    the incumbent (best fit decreasing, then the best leaf so far) is a whole plan at any time.
+    single = [(s, s + room) for s in set(filling)] + [(0, room)]
+    pairs = [(a + b - 1, a + b + room) for i, a in enumerate(filling) for b in filling[:i]]
+    places = ((low, bisect_right(free, high)) for low, high in single + pairs)
+    return any(at and free[at - 1] > low for low, at in places)
+
+
+def fillings(left: list[int], first: int, capacity: int, steps: Steps) -> Iterator[tuple[int, ...]]:
+    """All undominated ways to fill up a sequence that holds ``first``, lazily, the largest pieces first.
+
+    ``left`` has the counts without ``first``. The pieces of a filling never ascend, so each comes once.
     """
-    tokens = int((counts * np.arange(len(counts))).sum())
-    best = best_fit(counts, capacity)
-    bound = -(-tokens // capacity)
-    stack = [(counts.copy(), (), 0, None)]  # counts left, plan as a linked list, waste so far, filling to place
-    visited = 0
-    while stack and best.sequences > bound and visited < nodes:
-        left, plan, waste, filling = stack.pop()
-        visited += 1
-        if filling is not None:
-            n = int(_most(filling, left))
-            left = left.copy()
-            for s in filling:
-                left[s] -= n
-            plan, waste = (plan, (filling, n)), waste + n * (capacity - sum(filling))
+    sizes = [s for s in range(1, min(first, capacity - first) + 1) if left[s]]
+
+    def extend(room: int, filling: list[int]) -> Iterator[tuple[int, ...]]:
+        if not steps.take(1 + len(filling)):
+            return
+        tried = False
+        largest = min(room, filling[-1]) if filling else room
+        for at in range(bisect_right(sizes, largest) - 1, -1, -1):
+            if filling.count(sizes[at]) < left[sizes[at]]:
+                tried = True
+                yield from extend(room - sizes[at], [*filling, sizes[at]])
+                if steps.left < 0:
+                    return
+        if not tried and steps.take(len(filling) ** 2 + len(sizes) // 16):
+            free = [s for s in sizes if left[s] > filling.count(s)]
+            if not _dominated(filling, room, free):
+                yield tuple(filling)
+
+    return extend(capacity - first, [])
+
+
+def complete(counts: np.ndarray, capacity: int = CAPACITY, steps: int = 200_000) -> Plan:
+    """Bin completion, depth first; ``steps`` bounds the search. The incumbent is a whole plan at any time."""
+    counts = [int(n) for n in counts] + [0] * (capacity + 1 - len(counts))
+    tokens = sum(s * n for s, n in enumerate(counts))
+    best, bound, budget = best_fit(np.array(counts), capacity), -(-tokens // capacity), Steps(steps)
+
+    def choices(left: list[int]) -> Iterator[tuple[list[int], tuple[int, ...], int]]:
+        """What can become of the sequences with the largest piece: (counts then left, filling, times)."""
+        first = max(s for s, n in enumerate(left) if n)
+        others = [n - (s == first) for s, n in enumerate(left)]
+        for rest in fillings(others, first, capacity, budget):
+            use = Counter((first, *rest))
+            for times in range(min(left[s] // n for s, n in use.items()), 0, -1):
+                if not budget.take(1 + capacity // 64):
+                    return
+                yield [n - times * use.get(s, 0) for s, n in enumerate(left)], (first, *rest), times
+
+    stack = [(choices(counts), 0, None)] if tokens else []  # choices, waste so far, plan as a linked list
+    while stack and best.sequences > bound and budget.left > 0:
+        options, waste, plan = stack[-1]
+        option = next(options, None)
+        if option is None:
+            stack.pop()
+            continue
+        left, filling, times = option
+        waste += times * (capacity - sum(filling))
         # All plans waste sequences * capacity - tokens; a better one needs one sequence less than the incumbent.
         if waste > (best.sequences - 1) * capacity - tokens:
             continue
-        there = np.flatnonzero(left)
-        if not len(there):
-            found = []
-            while plan:
-                plan, step = plan
-                found.append(step)
-            if sum(n for _, n in found) < best.sequences:
-                best = Plan(found[::-1])
+        plan = (plan, (filling, times))
+        if any(left):
+            stack.append((choices(left), waste, plan))
             continue
-        first = int(there[-1])
-        for f in reversed(fillings(left, first, capacity)):
-            stack.append((left, plan, waste, (first, *f)))
-    return best
+        found = []
+        while plan:
+            plan, step = plan
+            found.append(step)
+        best = Plan(found[::-1])  # within the waste allowed, so a sequence less
+    return Plan(best.fillings, proven=best.sequences == bound or (not stack and budget.left > 0))
 
 
 def slots(plan: Plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -1,6 +1,9 @@
 """Whole queries of the operators on documents, pages and vectors against plain versions, and edge rows."""
 
+import functools
+import json
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,6 +11,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -106,8 +111,8 @@ def test_components_of_long_paths_and_hubs(spark):
 
 def test_packing_is_whole_and_tight(spark):
     tool = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    tool.encode_special_tokens = True
-    docs = corpus(spark) + EDGE
+    special = ["a b <|endoftext|> c", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n ", "<|endoftext"]
+    docs = corpus(spark) + EDGE + [(9000 + i, t) for i, t in enumerate(special)]
     got = packing.pack(frame(spark, docs)).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in got:
@@ -131,22 +136,67 @@ def test_packing_is_whole_and_tight(spark):
     assert len(by_sequence) <= math.ceil(sum(r.length for r in got) / 2048) + 1
 
 
-@pytest.mark.parametrize("sizes", [[6, 6, 5, 5, 4, 4], [7, 5, 5, 4, 4, 3, 2], [12], [], [3] * 9, [11, 8, 7, 6, 5, 4, 2, 1, 1, 3]])
-def test_plan_is_optimal_on_small_cases(sizes):
-    counts = np.bincount(sizes, minlength=13)
-    plan = packing.complete(counts, 12)
+def fewest(sizes, capacity):
+    """The least number of sequences, by trying every way to fill the sequence of the largest piece."""
+
+    @functools.cache
+    def of(left):
+        if not left:
+            return 0
+        found = set()
+
+        def fill(i, room, rest):
+            if i == len(left):
+                found.add(rest)
+            else:
+                if left[i] <= room:
+                    fill(i + 1, room - left[i], rest)
+                fill(i + 1, room, (*rest, left[i]))
+
+        fill(1, capacity - left[0], ())
+        return 1 + min(of(rest) for rest in found)
+
+    return of(tuple(sorted(sizes, reverse=True)))
+
+
+def check_plan(sizes, capacity):
+    plan = packing.complete(np.bincount(sizes, minlength=capacity + 1), capacity)
     used = Counter()
     for filling, n in plan.fillings:
-        assert sum(filling) <= 12
+        assert sum(filling) <= capacity
         used.update({s: n * k for s, k in Counter(filling).items()})
-    assert used == Counter(sizes)
+    assert used == Counter(sizes) and plan.proven and plan.sequences == fewest(sizes, capacity)
+
+
+@pytest.mark.parametrize(
+    "sizes,capacity",
+    [
+        ([6, 6, 5, 5, 4, 4], 12), ([7, 5, 5, 4, 4, 3, 2], 12), ([12], 12), ([], 12), ([3] * 9, 12), ([11, 8, 7, 6, 5, 4, 2, 1, 1, 3], 12),
+        ([18, 15, 14, 11, 8, 8, 6, 4, 3, 3], 30), ([9, 9, 8, 8, 7, 7, 6, 6, 5, 5], 24),
+    ],
+)
+def test_plan_is_optimal(sizes, capacity):
+    check_plan(sizes, capacity)
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.integers(5, 50).flatmap(lambda c: st.tuples(st.lists(st.integers(1, c), max_size=11), st.just(c))))
+def test_plan_is_optimal_on_small_cases(case):
+    check_plan(*case)
+
+
+def test_plan_is_optimal_on_random_cases():
+    rng = random.Random(11)
+    for _ in range(400):
+        capacity = rng.randint(10, 50)
+        check_plan([rng.randint(1, capacity * 2 // 3) for _ in range(rng.randint(5, 12))], capacity)
 
-    def best(left, bins):
-        if not left:
-            return len(bins)
-        return min(best(left[1:], b) for b in {tuple(sorted([*bins[:i], bins[i] + left[0], *bins[i + 1 :]])) for i in range(len(bins)) if bins[i] + left[0] <= 12} | {tuple(sorted([*bins, left[0]]))})
 
-    assert plan.sequences == best(tuple(sorted(sizes, reverse=True)), ())
+def test_encoder_knows_other_kinds_of_vocabulary():
+    definition = json.loads(Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))).to_str())
+    assert packing._plain_encoder(definition)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}):
+        assert packing._plain_encoder({**definition, **change}) is None
 
 
 # ---- substring dedup
