@@ -238,6 +238,35 @@ best AS (
 SELECT {_ANSWER} FROM best b JOIN cat USING (movie_id) WHERE pos <= 6
 """
 
+# Where a third of a word occurs, every text around it of up to two letters more or less is tried.
+ORACLES["search_two_edits"] = f"""
+WITH {_CATALOG}, {_TITLES}, {_WORD_REQUESTS},
+wanted AS (SELECT input, length(input) AS n, length(input) // 3 AS third FROM q WHERE regexp_full_match(input, '[a-z]{{9,}}')),
+parts AS (
+  SELECT input, n, unnest([0, third, 2 * third]) AS before, unnest([third, third, n - 2 * third]) AS size FROM wanted),
+keys AS (SELECT *, substring(input, before + 1, size) AS part FROM parts),
+starts AS (
+  SELECT movie_id, i, unnest((SELECT list(DISTINCT size) FROM parts)) AS size, text
+  FROM (SELECT movie_id, text, unnest(range(1, length(text) + 1)) AS i FROM titles)),
+met AS (
+  SELECT DISTINCT input, n, movie_id, i - before AS start, substring(text, greatest(1, i - before - 2), n + 6) AS around,
+    i - before - greatest(1, i - before - 2) AS lead
+  FROM starts s JOIN keys k ON s.size = k.size AND substring(text, i, s.size) = k.part),
+tried AS (
+  SELECT input, movie_id, substring(around, f, l) AS x
+  FROM (SELECT *, unnest(range(1, 6)) AS f FROM met), (SELECT unnest(range(-2, 3)) AS more), LATERAL (SELECT n + more AS l)),
+hits AS (
+  SELECT input, movie_id, min(levenshtein(input, x)) AS visit FROM tried
+  WHERE levenshtein(input, x) <= 2 AND regexp_full_match(x, '[a-z ]*') GROUP BY ALL),
+ranked AS (SELECT hits.*, titles.rank FROM hits JOIN titles USING (movie_id)),
+counted AS (SELECT *, count(*) FILTER (visit = 0) OVER (PARTITION BY input) AS n_exact FROM ranked),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY input ORDER BY rank DESC, movie_id) AS pos
+  FROM counted WHERE n_exact < 6 OR visit = 0)
+SELECT {_ANSWER} FROM best b JOIN cat USING (movie_id) WHERE pos <= 6
+"""
+
+
 def _evicted(source: str) -> str:
     """Answers of the queue that gives up its best entry, from the hits of a table."""
     return f"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marquee.constants import LISTING_LINK_CLASS
 from marquee.functions.fields import anchor_links, first_number
 from marquee.functions.text import content_words, stem, tokens
-from marquee.operators import catalog, crawl, evaluate, extract, predict, requests, search, stats, suffixes
+from marquee.operators import catalog, crawl, distant, evaluate, extract, predict, requests, search, stats, suffixes
 from marquee.operators.index import build_postings, ranked_postings, save_index, stemmed_titles
 from marquee.operators.variants import variants
 from marquee.plans import views
@@ -186,6 +186,13 @@ def discover_reference(spark, d):
     return found.select(*_ANSWER)
 
 
+@query
+def search_two_edits(spark, d):
+    """Words of nine letters and more, with up to two edits."""
+    words = _words(spark, d).filter(F.col("input").rlike("^[a-z]{9,}$"))
+    return distant.search_two_edits(words, _catalog(spark, d)).select(*_ANSWER)
+
+
 @query
 def search_saved_index(spark, d):
     """Exact and fuzzy search of part names in a stored full index."""

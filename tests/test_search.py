@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marquee.operators import index, search
+from marquee.operators import distant, index, search
 from marquee.operators.variants import walk_variants
 from tests.fixtures import asked, titled
 
@@ -229,3 +229,22 @@ def test_gate_and_eviction_together(spark, small):
             assert got.get(text, []) == plain_queue(asked_for, plain(pairs)), text
         else:
             assert len(got[text]) == 6 and set(got[text]) <= {t[0] for t in exact}, text
+
+
+def test_two_edits_by_parts_equal_the_variants(spark):
+    rng = random.Random(5)
+    words = ["wolverine", "seashells", "the sea wolf", "mountains"]
+
+    def changed(word):
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(word))
+            word = rng.choice([word[:at], word[: at + 1]]) + rng.choice(["", "e", " ", "é", "7"]) + word[at + 1 :]
+        return word
+
+    titles = [(f"{rng.choice(['', 'x ', 'ab'])}{changed(rng.choice(words))}{rng.choice(['', ' y'])}", i % 17) for i in range(150)]
+    catalog = titled(spark, titles)
+    requests = asked(spark, *words, "Seashell!", "sea", "éa")
+    want = search.search(requests.filter("length(input) < 10"), catalog, max_dist=2)
+    got = distant.search_two_edits(requests.filter("length(input) < 10"), catalog)
+    assert answers(got) == answers(want)
+    assert {r.input for r in distant.search_two_edits(requests, catalog).collect()} >= {"the sea wolf", "mountains"}
