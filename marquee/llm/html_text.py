@@ -6,10 +6,14 @@ content; tags score negative, by how often such tags stand outside of content. B
 on labelled pages: those that mark their content with exactly one ``article`` or ``main`` element. These two
 elements themselves get no weight, so the weights also serve pages without them. A linear scan finds the run of
 blocks with the highest sum: the content region. Blocks inside it that stand in a menu, form, notice, advert or
-among reader comments are left out; everything else in it is kept whole, in page order.
+among reader comments are left out; everything else in it is kept whole, in page order. An element is known as one of
+these by its kind, or by a class, id or role that is one of ``APART_NAMES`` as a whole; as part of a longer name such a
+word only lowers the weight of words. Names of the page, of its body and of the content itself say nothing, and names
+around the content do not set it apart.
 
-Weights are fitted on about ``SAMPLE`` labelled pages, those with the smallest hash of id and address; a prior of a
-few pseudo-counts speaks for elements and names that no labelled page has.
+Weights are fitted on about ``SAMPLE`` labelled pages, those with the smallest hash of id and address, for the
+``FEATURES`` most frequent features; a prior of a few pseudo-counts speaks for elements and names that no labelled page
+has, or too few.
 
 Defined results: null, empty or text-free pages give an empty text. Markup may be cut off or wrongly nested. Equal
 rows give equal results; an empty table gives an empty result; other columns are carried along by ``extracted``, a
@@ -21,6 +25,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -56,11 +61,14 @@ APART_NAMES = set(
 )
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
-    rf"|<({SKIPPED_TO_END})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<({SKIPPED})(?=[\s/>])[^>]*>.*?</\2\s*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({SKIPPED_TO_END})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    # a quotation mark begins a value only after the equals sign
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|<[!?/][^>]*>",
     re.S | re.I,
 )
+_CLOSED = re.compile(rf"-->\Z|</(?:{SKIPPED_TO_END})\s*>\Z|\A<[!?/](?!--)", re.I)
+_SKIPPED = set(SKIPPED.split("|"))
+_SKIPPED_END = re.compile(rf"</({SKIPPED})\s*>", re.I)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 
@@ -87,6 +95,7 @@ class _Open:
     apart: bool
     inside: bool
     link: bool
+    named: bool = False
 
 
 def blocks(page: str) -> list[Block]:
@@ -105,7 +114,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 n = text.count(" ") + 1
                 link = len(html.unescape(" ".join(linked)).split())
-                out.append(Block(text, n, min(link, n), tags, home.around, home.apart, home.inside))
+                out.append(Block(text, n, min(link, n), tags, home.around, home.apart or home.named, home.inside))
                 tags = []
             chunks.clear()
             linked.clear()
@@ -120,21 +129,32 @@ def blocks(page: str) -> list[Block]:
         if stack[-1].link:
             linked.append(text)
 
-    at = 0
-    for token in _TOKEN.finditer(page):
+    ends: dict[str, list[tuple[int, int]]] = {}
+    for end in _SKIPPED_END.finditer(page):
+        ends.setdefault(end.group(1).lower(), []).append(end.span())
+    at, last = 0, page.rfind(">") + 1  # no tag ends beyond
+    while token := _TOKEN.search(page, at, last):
         add(page[at : token.start()])
         at = token.end()
-        name = token.group(4)
+        name = token.group(3)
         if name is None:
+            if at == last and not _CLOSED.search(token.group()):
+                at = len(page)  # a comment or script without end
             continue
         name = name.lower()
+        if name in _SKIPPED and not token.group(2):
+            later = ends.get(name, [])
+            following = bisect_left(later, (at, 0))
+            if not token.group(4).endswith("/") and following < len(later):
+                at = later[following][1]
+            continue
         if name == "br":
             chunks and chunks.append(" ")
             continue
         block = name not in INLINE
         if block:
             flush()
-        if token.group(3):
+        if token.group(2):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == name:
                     del stack[i:]
@@ -145,8 +165,8 @@ def blocks(page: str) -> list[Block]:
             tags.append(name)
             if block and name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") or block and stack[-1].tag == "p":
                 _close(stack, name)
-            stack.append(_opened(stack[-1], name, token.group(5)))
-    add(page[at:])
+            stack.append(_opened(stack[-1], name, token.group(4)))
+    add(page[at:].split("<!--")[0])
     flush()
     return out
 
@@ -166,14 +186,17 @@ def _opened(parent: _Open, name: str, attributes: str) -> _Open:
     around, apart = parent.around, parent.apart
     # The header of the content itself holds its headline.
     apart = apart or (name in APART and not (name == "header" and inside))
-    if attributes and "=" in attributes:
-        words = {w for m in _NAMES.finditer(attributes) for w in _WORD.findall((m[2] or m[3] or m[4] or "").lower())}
-        if words:
-            apart = apart or not words.isdisjoint(APART_NAMES)
-            around = around | {f"name {w}" for w in words}
-    if name not in CONTENT and name not in INLINE and name not in ("html", "head", "body"):
+    named = parent.named and (parent.inside or name not in CONTENT)
+    whole_page = name in ("html", "head", "body")
+    if attributes and "=" in attributes and not whole_page and (name not in CONTENT or parent.inside):
+        names = [n for m in _NAMES.finditer(attributes) for n in (m[2] or m[3] or m[4] or "").lower().split()]
+        words = {f"name {w}" for n in names for w in _WORD.findall(n)}
+        named = named or not APART_NAMES.isdisjoint(names)
+        if not words <= around:
+            around = around | words
+    if name not in CONTENT and name not in INLINE and not whole_page and f"in {name}" not in around:
         around = around | {f"in {name}"}
-    return _Open(name, around, apart, inside, parent.link or name == "a")
+    return _Open(name, around, apart, inside, parent.link or name == "a", named)
 
 
 @dataclass
@@ -183,10 +206,11 @@ class Weights:
     ratio: dict[str, float] = field(default_factory=dict)
     outside: dict[str, float] = field(default_factory=dict)
     base: float = 2.0
+    away: frozenset[str] = frozenset()
 
     def is_apart(self, block: Block) -> bool:
         """By its elements and names, or by a name that labelled pages have outside of content only."""
-        return block.apart or any(self.ratio.get(f, 0.0) <= -LIMIT for f in block.around if f.startswith("name "))
+        return block.apart or not self.away.isdisjoint(block.around)
 
     def word(self, block: Block) -> float:
         """How likely the words of a block are content, 0 to 1."""
@@ -226,19 +250,23 @@ def main_text(page: str | None, weights: Weights) -> str:
 PRIOR = {
     "in nav": (0, 20), "in footer": (0, 20), "in aside": (0, 20), "in form": (0, 20), "in p": (20, 4), "in h1": (6, 2),
     "in h2": (6, 2), "in blockquote": (6, 2), "in pre": (6, 2), "links all": (1, 20), "links no": (20, 10),
+    **{f"name {w}": (0, 20) for w in APART_NAMES},
 }
+#: Words outside of content, and none in it, from which on a name is known to be outside.
+AWAY = 200
 
 
 def fit(counts: list[tuple[str, int, int]]) -> Weights:
     """From (feature, words inside, words outside) and (``tag`` + name, times inside, times outside)."""
     table = {name: (float(i), float(o)) for name, i, o in counts}
+    away = frozenset(n for n, (i, o) in table.items() if n.startswith("name ") and not i and o >= AWAY)
     words = [table.pop("all", (0.0, 0.0))]
     inside, outside = words[0]
     for name, (i, o) in PRIOR.items():
         have = table.get(name, (0.0, 0.0))
         table[name] = have[0] + i, have[1] + o
     inside, outside = inside + 100, outside + 100
-    weights = Weights(base=math.log(inside / outside))
+    weights = Weights(base=math.log(inside / outside), away=away)
     for name, (i, o) in table.items():
         if name.startswith("tag "):
             weights.outside[name[4:]] = 0.02 + (o + 0.5) / (i + o + 1)

@@ -4,6 +4,7 @@ import functools
 import json
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -378,3 +379,35 @@ def test_nearest_edges(spark):
 @pytest.mark.parametrize("apply", [simhash.near_groups, simhash.keep_one, packing.pack, substrings.deduplicated, lm_score.scores])
 def test_empty_table(spark, apply):
     assert apply(frame(spark, EDGE).limit(0)).count() == 0
+
+
+# ---- pages whose names and markup mislead
+
+
+PAGES = {
+    "<body class='no-sidebar'><article><p>whole article text</p></article></body>": "whole article text",
+    "<main class='with-comments'><p>whole article text</p></main>": "whole article text",
+    "<article id=post-legal-search-tips><p>whole article text</p></article>": "whole article text",
+    "<article class=recipe-cookie><p>whole article text</p></article>": "whole article text",
+    "<div class='widget'><article><p>whole article text</p></article></div>": "whole article text",
+    "<article><p data-t=it's>Hello first paragraph words</p><p>second words here</p><p>don't lose third</p></article>": (
+        "Hello first paragraph words second words here don't lose third"
+    ),
+    "<article><p>one <svg class='i'/> two</p><p>three <button>press</button> four</p></article>": "one two three four",
+    "<article><p>one <button>two</p><p>three</p></article>": "one two three",
+    "<article><p title='a > b'>one</p><p title=\"it's\">two</p></article>": "one two",
+    "<article><p>one two three</p><div class='comments'><p>me first</p></div><div class='share'>x y</div></article>": "one two three",
+    "<html><head><title>t</title><body><article><p>Body words</p></article>": "Body words",
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_the_scan_decides_not_names(page):
+    assert html_text.main_text(page, html_text.fit([])) == PAGES[page]
+
+
+@pytest.mark.parametrize("tag", ["<button>", "<svg>", "<select x='", "<p a=", "<svg a=\"", "</p", "<!", "=\"'"])
+def test_unclosed_tags_take_linear_time(tag):
+    began = time.process_time()
+    html_text.blocks("<article><p>words</p>" + (tag + " x ") * 10_000)
+    assert time.process_time() - began < 1.0
