@@ -6,19 +6,20 @@
 3. Each candidate gets yes/no features of its form and its surroundings. All candidates of the corpus are summed
    to one row per combination of features: how many there are and how many are base spans. That table has at
    most 2^features rows per kind, whatever the corpus.
-4. Boosted trees learn from it whether a candidate of such form and surroundings is a base span. A fifth of the
-   documents, by hash, is kept out and calibrates a threshold per kind: the lowest score at which the share of
-   base spans is ``precision``.
-5. Candidates at or above the threshold are added: what looks and stands like base spans but was missed, such as a
-   card number that the strict pattern ran together with a number beside it.
+4. Boosted trees learn from it whether a candidate of such form and surroundings is known: a base span, or one in
+   another known way of writing (``is_known``). A fifth of the documents, by hash, is kept out and calibrates a
+   threshold per kind: the lowest score at which the share of known ones is ``precision``.
+5. Candidates at or above the threshold are added: known ones, and what looks and stands like them, such as a card
+   number that the strict pattern ran together with a number beside it.
 
 Everything is computed inside the row of the document: no join, no shuffle of texts. Positions are code points,
 end exclusive. Patterns use possessive repeats that start only at the beginning of a run (or where the last match
 ended), so a long run of letters or digits costs linear time and no stack.
 
 Defined results: null text counts as empty (no spans); repeated rows give repeated results; an empty table gives
-an empty result and learns nothing (base spans only); other columns are carried along, a column named like an
-added one is replaced.
+an empty result and learns nothing (base spans only). ``redact`` keeps all columns but the text and its length;
+``spans_of`` carries other columns along, a column named like an added one is replaced. Time is linear in the length
+of a text however many matches it has: texts are cut into blocks, and no piece is sought from a text's beginning.
 """
 
 from __future__ import annotations
@@ -106,44 +107,66 @@ def passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+#: Code points of the blocks that a text is cut into, so that no piece is sought from the text's beginning.
+BLOCK = 1024
+
+
+def blocks(text: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def piece(cut: Column, start: Column, size: Column) -> Column:
+    """The code points [start, start + size) of a text in ``blocks``."""
+    first = F.floor(start / BLOCK).cast("int")
+    number = F.floor((start + size + BLOCK - 1) / BLOCK).cast("int") - first
+    return F.substring(F.array_join(F.slice(cut, first + 1, F.greatest(number, F.lit(0))), ""), start % BLOCK + 1, size)
+
+
 def matches(text: str, pattern: str, hint: str) -> Column:
     """Array of (start, end, value, before, after) of the leftmost matches of ``pattern`` in column ``text``.
 
     Matches and the pieces between them come from two scans with the same pattern; adding up their lengths gives
-    the positions. Texts without the hint are not scanned.
+    the positions. Texts without the hint are not scanned. ``_blocks`` has the text in blocks.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(hits.alias("hit"), F.slice(pieces, F.lit(1), F.size(hits)).alias("gap"))
-    kind = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
-    laid = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
+    sizes = F.arrays_zip(
+        F.transform(hits, F.length).alias("hit"), F.transform(F.slice(pieces, F.lit(1), F.size(hits)), F.length).alias("gap")
+    )
+    starts = F.aggregate(
+        sizes,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
         lambda state, p: F.struct(
-            (state["at"] + F.length(p["gap"]) + F.length(p["hit"])).alias("at"),
-            F.concat(
-                state["out"],
-                F.array(
-                    F.struct(
-                        (state["at"] + F.length(p["gap"])).alias("start"),
-                        (state["at"] + F.length(p["gap"]) + F.length(p["hit"])).alias("end"),
-                        p["hit"].alias("value"),
-                        F.substring(F.col(text), F.greatest(state["at"] + F.length(p["gap"]) - CONTEXT + 1, F.lit(1)),
-                                    F.least(state["at"] + F.length(p["gap"]), F.lit(CONTEXT))).alias("before"),
-                        F.substring(F.col(text), state["at"] + F.length(p["gap"]) + F.length(p["hit"]) + 1, F.lit(CONTEXT)).alias("after"),
-                    )
-                ),
-            ).alias("out"),
+            (state["at"] + p["gap"] + p["hit"]).alias("at"),
+            F.concat(state["out"], F.array(state["at"] + p["gap"])).alias("out"),
         ),
         lambda state: state["out"],
     )
+    # The blocks go along with each match: as a column, they might be made anew for each.
+    cut = F.array_repeat(F.col("_blocks"), F.size(hits))
+
+    def laid_out(p: Column) -> Column:
+        start, end = p["start"], p["start"] + F.length(p["hit"])
+        lead = F.least(start, F.lit(CONTEXT))
+        return F.struct(
+            start.alias("start"),
+            end.alias("end"),
+            p["hit"].alias("value"),
+            piece(p["cut"], start - lead, lead).alias("before"),
+            piece(p["cut"], end, F.lit(CONTEXT)).alias("after"),
+        )
+
+    laid = F.transform(F.arrays_zip(hits.alias("hit"), starts.alias("start"), cut.alias("cut")), laid_out)
+    kind = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
     found = F.col(text).rlike(hint) & F.col(text).rlike(pattern)
-    return F.when(found, laid).otherwise(F.array().cast(kind))
+    return F.when(found, laid).otherwise(F.array()).cast(kind)
 
 
 def with_base(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_text`` (never null) and the arrays of base spans ``_email`` .. ``_phone``."""
+    """``docs`` with ``_text`` (never null), ``_blocks`` and the arrays of base spans ``_email`` .. ``_phone``."""
     out = docs.withColumn("_text", F.coalesce("text", F.lit("")))
+    worth = reduce(lambda a, b: a | b, [F.col("_text").rlike(h) for k in KINDS for h in (HINT[k], _base_hint(k))])
+    out = out.withColumn("_blocks", F.when(worth, blocks("_text")))
     out = out.withColumns({f"_{k}": matches("_text", BASE[k], _base_hint(k)) for k in KINDS})
     return out.withColumns({f"_{k}": checked(k) for k in KINDS})
 
@@ -177,6 +200,7 @@ def features(kind: str, span: Column) -> list[Column]:
             value.rlike(r"\.\x20?[A-Za-z]{2,}$"),
             value.rlike(r"^[A-Za-z0-9]"),
             F.length(value) <= 64,
+            value.rlike(r"[\[(]\x20?dot"),
         ],
         "ip": [
             value.contains(" "),
@@ -215,26 +239,59 @@ def code(kind: str, span: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.when(f, 1 << i).otherwise(0) for i, f in enumerate(features(kind, span))])
 
 
-def is_base(span: Column, base: Column) -> Column:
-    return F.exists(base, lambda b: (b["start"] == span["start"]) & (b["end"] == span["end"]))
+# What may not stand before or after a candidate that is a base span: a base match would go on there.
+GOES_ON = {
+    "email": (rf"[{LOCAL}]$", rf"^\.?[{HOST}]"),
+    "ip": (r"[0-9]$", r"^[0-9]"),
+    "card": (r"[0-9][\x20-]?$", r"^[\x20-]?[0-9]"),
+    "phone": (r"\+[\x20().0-9-]*$", r"^[\x20().-]*[0-9]"),
+}
+
+
+def is_base(kind: str, span: Column) -> Column:
+    """Whether a candidate is a base span, from its value and surroundings alone (so in constant time)."""
+    value, (before, after) = span["value"], GOES_ON[kind]
+    whole = value.rlike(rf"^(?:{BASE[kind]})$") & passes(kind, value)
+    return whole & ~span["before"].rlike(before) & ~span["after"].rlike(after)
+
+
+def is_known(kind: str, span: Column) -> Column:
+    """What a candidate is learned from: it is a base span, or becomes one by a known way of writing.
+
+    An address with its signs in words, sixteen digits in fours with a right check digit whatever stands between them,
+    or a grouped number that is announced as a telephone number.
+    """
+    value = span["value"]
+    number = digits(value)
+    if kind == "email":
+        signs = F.regexp_replace(value, r"\x20?[\[(]\x20?at\x20?[\])]\x20?", "@")
+        signs = F.regexp_replace(signs, r"\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?", ".")
+        other = ~value.contains("@") & signs.rlike(rf"^[{LOCAL}]+@[{HOST}]+(?:\.[{HOST}]+)*\.[A-Za-z]{{2,}}$")
+    elif kind == "card":
+        other = value.rlike(r"^[0-9]{4}(?:[\x20./-]{1,2}[0-9]{4}){3}$") & luhn(number)
+    elif kind == "phone":
+        grouped = value.rlike(r"[0-9][\x20()./-]+[0-9]+[\x20()./-]+[0-9]")
+        other = grouped & F.length(number).between(10, 15) & span["before"].rlike(CUES["phone"])
+    else:
+        other = F.lit(False)
+    return F.coalesce(is_base(kind, span) | other, F.lit(False))
 
 
 def combinations(rows: DataFrame) -> DataFrame:
-    """How many candidates of the corpus, and how many base spans, have each combination of features."""
+    """How many candidates of the corpus, and how many known ones, have each combination of features."""
     held = F.pmod(F.xxhash64("_text"), F.lit(5)) == 0
 
     def coded(kind: str) -> Column:
         return F.transform(
             f"_more_{kind}",
             lambda s: F.struct(
-                F.lit(kind).alias("kind"), code(kind, s).alias("code"), is_base(s, F.col(f"_{kind}")).alias("hit")
+                F.lit(kind).alias("kind"), code(kind, s).alias("code"), is_known(kind, s).alias("hit")
             ),
         )
 
     every = F.concat(*[coded(k) for k in KINDS])
     return (
-        rows.filter(reduce(lambda a, b: a | b, [F.size(f"_more_{k}") > 0 for k in KINDS]))
-        .select(F.inline(every), held.alias("held"))
+        rows.select(F.inline(every), held.alias("held"))
         .groupBy("kind", "code", "held")
         .agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("hits"))
     )
@@ -326,7 +383,9 @@ def spans_of(docs: DataFrame, precision: float = 0.9, support: int = 20) -> Data
         return F.filter(f"_more_{kind}", lambda s: code(kind, s).isin(codes))
 
     for k, codes in chosen.items():
-        every[k] = F.array_sort(F.array_union(base[k], triples(k, picked(k, codes))))
+        found = F.array_sort(F.concat(base[k], triples(k, picked(k, codes))))
+        before = F.concat(F.array(F.lit(None)), F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))))
+        every[k] = F.array_compact(F.zip_with(found, before, lambda s, b: F.when(~s.eqNullSafe(b), s)))
     return rows.withColumn("base", F.concat(*base.values())).withColumn("spans", F.concat(*[every[k] for k in KINDS])).select(
         *[c for c in docs.columns if c not in {"base", "spans"}], "base", "spans"
     )
@@ -349,24 +408,35 @@ def redact(docs: DataFrame, **options: float) -> DataFrame:
     ``n_chars``, where there is such a column, becomes the length of the new text. Rows without spans stay as they
     are, a null text too.
     """
-    found = spans_of(docs, **options)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    found = spans_of(rows, **options)
     ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    # One pass over the sorted spans: text so far and the end of what is done.
-    built = F.aggregate(
+    # One pass over the sorted spans: those that begin a gap, with where the gap before them begins.
+    merged = F.aggregate(
         ordered,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<since:int,start:int,kind:string>>").alias("out")),
         lambda state, s: F.struct(
             F.greatest(state["at"], s["end"]).alias("at"),
             F.when(
                 s["start"] >= state["at"],
-                F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]),
-                         F.lit("["), F.upper(s["kind"]), F.lit("]")),
+                F.concat(state["out"], F.array(F.struct(state["at"].alias("since"), s["start"].alias("start"), s["kind"].alias("kind")))),
             ).otherwise(state["out"]).alias("out"),
         ),
-        lambda state: F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, F.length("text"))),
     )
-    clean = found.withColumn("_clean", F.when(F.size("spans") > 0, built).otherwise(F.col("text")))
-    columns = {"text": F.col("_clean")}
+    found = found.withColumn("_merged", F.when(F.size("spans") > 0, merged)).withColumn(
+        "_blocks", F.when(F.size("spans") > 0, blocks("text"))
+    )
+    gaps = F.arrays_zip(F.col("_merged.out").alias("gap"), F.array_repeat(F.col("_blocks"), F.size("_merged.out")).alias("cut"))
+    kept = F.transform(
+        gaps,
+        lambda s: F.concat(
+            piece(s["cut"], s["gap"]["since"], s["gap"]["start"] - s["gap"]["since"]), F.lit("["), F.upper(s["gap"]["kind"]), F.lit("]")
+        ),
+    )
+    last = piece(F.col("_blocks"), F.col("_merged.at"), F.greatest(F.length("text") - F.col("_merged.at"), F.lit(0)))
+    clean = F.when(F.size("spans") > 0, F.concat(F.array_join(kept, ""), last)).otherwise(F.col("text"))
+    found = found.withColumn("_clean", clean)
+    new = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.size("spans") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars"))
-    return clean.withColumns(columns).select(*docs.columns)
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("_clean").cast("long")).otherwise(F.col("row.n_chars"))
+    return found.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
