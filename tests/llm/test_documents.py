@@ -225,23 +225,23 @@ def test_maximal_repeats():
 def test_backoff_scores(spark, monkeypatch, part):
     monkeypatch.setattr(lm_score, "WORDS_PER_PART", part)
     docs = [*corpus(spark), *EDGE[:5], (10_006, LONG), (10_007, "the " * 3000)]
-    pair, history, word = Counter(), Counter(), Counter()
+    pair, history = Counter(), Counter()
     for _, t in docs:
         w = brute.words(t)
         for a, b in zip([None, *w], w, strict=False):
             pair[a, b] += 1
             history[a] += 1
-            word[b] += 1
-    total = word.total()
-    for r in lm_score.scores(frame(spark, docs)).collect():
+    rows = lm_score.scores(frame(spark, docs)).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, _ in docs)
+    for r in rows:
         w = brute.words(dict(docs)[r.doc_id])
         assert r.n_words == len(w)
-        logs = [math.log(pair[a, b] / history[a]) if pair[a, b] >= 2 else math.log(0.4 * word[b] / total) for a, b in zip([None, *w], w, strict=False)]
+        logs = [math.log(pair[a, b] / history[a]) for a, b in zip([None, *w], w, strict=False)]
         assert r.score == (pytest.approx(sum(logs) / len(w)) if w else None)
-        assert r.backed_off == sum(pair[a, b] < 2 for a, b in zip([None, *w], w, strict=False))
+        assert r.seen_once == sum(pair[a, b] == 1 for a, b in zip([None, *w], w, strict=False))
 
 
-def test_backoff_gathers_no_hot_word(spark, monkeypatch):
+def test_backoff_gathers_no_hot_word_or_pair(spark, monkeypatch):
     from pyspark.sql.group import GroupedData
 
     monkeypatch.setattr(lm_score, "WORDS_PER_PART", 3_000)
@@ -257,9 +257,43 @@ def test_backoff_gathers_no_hot_word(spark, monkeypatch):
     docs = [(i, " ".join(f"hot a{(20 * i + j) % 2000} z{i}_{j} cold" for j in range(20))) for i in range(400)]
     rows = lm_score.scores(frame(spark, docs)).collect()
     assert max(largest) <= 6_000
-    hot, rare, cold, hot_again = 19 * math.log(7600 / 7600), 20 * math.log(0.4 / 32_000), 20 * math.log(0.4 * 8000 / 32_000), 20 * math.log(4 / 8000)
-    assert [r.score for r in rows] == pytest.approx([(hot + rare + cold + hot_again) / 80] * 400)
-    assert {r.backed_off for r in rows} == {40}
+    assert [r.score for r in rows] == pytest.approx([(20 * math.log(4 / 8000) + 20 * math.log(1 / 4)) / 80] * 400)
+    assert {r.seen_once for r in rows} == {40}
+    # One pair of two hot words in every one of many short documents: half of all entries.
+    largest.clear()
+    docs = [(i, f"hot cold w{i} hot") for i in range(10_000)]
+    rows = lm_score.scores(frame(spark, docs)).collect()
+    assert max(largest) <= 6_000
+    assert [r.score for r in rows] == pytest.approx([math.log(1 / 10_000) / 4] * 10_000)
+
+
+def test_backoff_by_another_corpus(spark):
+    known = [(1, "a b c a b d"), (2, "a b c"), (3, None), (3, "a b c")]
+    docs = [(1, "a b c"), (2, "b c x a b e"), (3, None), (4, " "), (5, "c a"), (5, "c a"), (6, "the " * 500 + "b")]
+    counts, histories, total = Counter(), Counter(), 0
+    for _, t in known:
+        padded = ["", "", *brute.words(t)]
+        for end in range(2, len(padded)):
+            total += 1
+            for k in (1, 2, 3):
+                counts[tuple(padded[end - k + 1 : end + 1])] += 1
+                histories[k, tuple(padded[end - k + 1 : end])] += 1
+
+    def log(gram, k):
+        if k == 1:
+            return math.log(max(1, counts[gram[-1:]]) / total)
+        g = gram[-k:]
+        return math.log(counts[g] / histories[k, g[:-1]]) if counts[g] else math.log(0.4) + log(gram, k - 1)
+
+    want = []
+    for i, t in docs:
+        padded = ["", "", *brute.words(t)]
+        grams = [tuple(padded[end - 2 : end + 1]) for end in range(2, len(padded))]
+        score = round(sum(log(g, 3) for g in grams) / len(grams), 9) if grams else -99
+        want.append((i, len(grams), score, sum(not counts[g] for g in grams)))
+    found = lm_score.scores_against(frame(spark, docs), frame(spark, known)).collect()
+    assert sorted((r.doc_id, r.n_words, -99 if r.score is None else round(r.score, 9), r.backed_off) for r in found) == sorted(want)
+    assert {r.score for r in lm_score.scores_against(frame(spark, docs), frame(spark, known).limit(0)).collect()} == {None}
 
 
 # ---- quality
