@@ -442,6 +442,23 @@ SELECT (SELECT count(*) FROM lines) AS movies, CAST(sum(count) AS BIGINT) AS ngr
 
 ORACLES["partition_rows"] = "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(16 AS BIGINT) AS partitions FROM orders"
 
+ORACLES["observed_rows"] = f"""
+WITH {_LINES}
+SELECT count(*) AS rows_before, count(*) AS rows_after, count(*) AS rows_written, 16 AS partitions FROM lines
+"""
+
+_TITLE_WORDS = f"{_LINES}, w AS (SELECT unnest({_words(_stem('title'))}) AS word FROM lines)"
+
+ORACLES["sketched_distinct"] = f"""
+WITH {_TITLE_WORDS}
+SELECT count(DISTINCT word) AS exact, count(*) AS words, true AS in_bounds, true AS as_whole FROM w
+"""
+
+ORACLES["heavy_words"] = f"""
+WITH {_TITLE_WORDS}
+SELECT word AS value, count(*) AS count FROM w GROUP BY word HAVING count(*) * 500 > (SELECT count(*) FROM w)
+"""
+
 ORACLES["values_round_trip"] = """
 SELECT trim(c_mktsegment) AS value, count(*) AS count FROM customer
 WHERE c_mktsegment <> '' GROUP BY ALL

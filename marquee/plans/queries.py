@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marquee.constants import LISTING_LINK_CLASS
 from marquee.functions.fields import anchor_links, first_number
 from marquee.functions.text import content_words, stem, tokens
-from marquee.operators import catalog, crawl, distant, evaluate, extract, predict, requests, search, stats, suffixes
+from marquee.operators import catalog, crawl, distant, evaluate, extract, predict, requests, search, sketches, stats, suffixes
 from marquee.operators.index import build_postings, ranked_postings, save_index, stemmed_titles
 from marquee.operators.variants import variants
 from marquee.plans import views
@@ -292,6 +292,57 @@ def partition_rows(spark, d):
     return counted.agg(F.sum("rows").alias("rows"), F.count("*").alias("partitions"))
 
 
+@query
+def observed_rows(spark, d):
+    """Titles written in 16 partitions: rows counted on the way before and after the move, and rows found in the files."""
+    path = scratch_path(spark, "spread")
+    before, after = stats.write_spread(_dump(spark, d).select("movie_id", "title"), 16, "movie_id", path)
+    written = spark.read.parquet(path).agg(F.count("*").alias("rows_written"))
+    return written.select(
+        F.lit(before).cast("long").alias("rows_before"),
+        F.lit(sum(after)).cast("long").alias("rows_after"),
+        "rows_written",
+        F.lit(len(after)).alias("partitions"),
+    )
+
+
+def _title_words(spark, d):
+    return _dump(spark, d).select("movie_id", F.explode(tokens(stem(F.col("title")))).alias("word"))
+
+
+def _stored_sketches(spark, words):
+    """The words' sketches in eight parts; half of the parts are written first, then the others and one of them again."""
+    path = scratch_path(spark, "sketches")
+    parts = sketches.sketch_parts(words, "word", F.pmod("movie_id", F.lit(8)).cast("int"))
+    sketches.store_parts(parts.filter("part < 4"), path)
+    sketches.store_parts(parts.filter("part >= 3"), path)
+    return sketches.stored_parts(spark, path)
+
+
+@query
+def sketched_distinct(spark, d):
+    """How many different words titles have, whether that is in the bounds of the stored sketches, and whether these
+    together tell what one sketch of all words does."""
+    words = _title_words(spark, d)
+    stored = _stored_sketches(spark, words)
+    parts = sketches.distinct_estimate(stored)
+    whole = sketches.distinct_estimate(sketches.sketch_parts(words, "word", F.lit(0)))
+    exact = words.agg(F.count_distinct("word").alias("exact")).scalar()
+    return parts.select(
+        exact.alias("exact"),
+        stored.agg(F.sum("rows")).scalar().alias("words"),
+        exact.between(F.col("low"), F.col("high")).alias("in_bounds"),
+        (F.col("estimate") == whole.select("estimate").scalar()).alias("as_whole"),
+    )
+
+
+@query
+def heavy_words(spark, d):
+    """Words that make up more than one in 500 of all words of titles, found by the stored sketches and counted exactly."""
+    words = _title_words(spark, d)
+    return sketches.heavy_values(words, "word", _stored_sketches(spark, words), 1 / 500)
+
+
 @query
 def values_round_trip(spark, d):
     """Customer segments written one per line, read and counted."""
