@@ -530,6 +530,34 @@ ORACLES["crawl_records"] = f"""
 WITH {_RECORDS} SELECT url, status, title, trailer, rank FROM films WHERE NOT failed
 """
 ORACLES["stream_extract"] = ORACLES["crawl_records"]
+
+_NOTE = "replace(CAST((size % 50) / 10.0::DOUBLE AS VARCHAR), '.', ',')"
+#: Field, place, value and which pages have it.
+_PAGE_VALUES = [
+    ("score_press", 0, _NOTE, "mark % 7 <> 0"),
+    ("reviews_press", 0, "CAST(size % 500 AS VARCHAR)", "mark % 7 <> 0"),
+    ("score_viewers", 0, _NOTE, "mark % 11 <> 0"),
+    ("reviews_viewers", 0, "CAST(size % 500 AS VARCHAR)", "mark % 11 <> 0"),
+    ("date", 0, "'day ' || mark % 30", "mark % 13 <> 0"),
+    ("synopsis", 0, "'Line ' || line_no", "mark % 17 <> 0"),
+    ("title", 0, "nullif(title, '')", "mark % 29 <> 0"),
+    ("cover", 0, "'/cover/' || movie_id", "true"),
+    ("director", 0, "'Director ' || mark % 211", "true"),
+    ("genre", 0, "source", "true"),
+    ("genre", 1, "CASE WHEN size > 200 THEN 'long' ELSE 'short' END", "true"),
+    ("nationalities", 0, "' ' || lang", "true"),
+    ("pictures", 0, "'/shot/' || movie_id", "true"),
+    ("actors", 0, "lang", "true"),
+    ("actors", 1, "NULL", "true"),
+    ("actors", 2, "source", "true"),
+    ("misc", 0, "'<div class=\"ovw-synopsis-info\"><br/>' || source || '</div>'", "true"),
+    ("trailer_link", 0, "'/video/' || movie_id", "mark % 3 <> 0"),
+]
+ORACLES["page_values"] = f"WITH {_LINES} " + " UNION ALL ".join(
+    f"SELECT {_FILM_URL} AS url, '{field}' AS field, CAST({place} AS INTEGER) AS place, {value} AS value FROM lines WHERE {has}"
+    for field, place, value, has in _PAGE_VALUES
+)
+
 ORACLES["crawl_events"] = f"""
 WITH {_RECORDS},
 tagged AS (SELECT unnest([

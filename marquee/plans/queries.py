@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee.constants import LISTING_LINK_CLASS
 from marquee.functions.fields import anchor_links, first_number
+from marquee.functions.page_table import values_of
 from marquee.functions.text import content_words, stem, tokens
 from marquee.operators import catalog, crawl, distant, evaluate, extract, predict, requests, search, sketches, stats, suffixes
 from marquee.operators.index import build_postings, ranked_postings, save_index, stemmed_titles
@@ -391,6 +392,12 @@ def _extracted(spark, d):
     return extract.extract_pages(views.film_pages(documents), views.archive(documents), SITE)
 
 
+@query
+def page_values(spark, d):
+    """Every value of every film page, by the table function in SQL."""
+    return values_of(views.film_pages(_documents(spark, d)))
+
+
 @query
 def page_records(spark, d):
     found = extract.records(_extracted(spark, d))

@@ -22,7 +22,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
         "top_titles", "page_links", "page_records", "crawl_records", "request_dispatch",
         "stream_telemetry", "stream_extract", "stream_requests", "discover_reference", "seed_pages",
         "merged_dump", "dump_quarantine", "crawl_events", "catalog_counts", "ngram_length_hist", "predict_stored_model",
-        "search_from_index", "index_add", "search_two_edits", "observed_rows", "sketched_distinct", "heavy_words",
+        "search_from_index", "index_add", "search_two_edits", "observed_rows", "sketched_distinct", "heavy_words", "page_values",
     ],
 )
 def test_query_equals_sql(spark, name):
