@@ -43,6 +43,14 @@ def null_safe(name: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def batches(frames: Iterator) -> Iterator:
     """The non-empty record batches of a ``mapInArrow`` input."""
     return (batch for batch in frames if batch.num_rows)

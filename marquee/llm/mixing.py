@@ -144,7 +144,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 
 def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, same columns."""
-    return mix(docs, **options).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("n_copies").cast("int")))).select(
-        *docs.columns
-    )
+    """The mix itself: every row of ``docs`` as often as it is taken, same columns with the values they had."""
+    carried = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("n_copies").cast("int")))
+    return mix(carried, **options).withColumn("_copy", copies).select("_row.*")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import batches, settle
+from marquee.llm.common import batches, settle, unused
 
 SAMPLE = 12_000
 MIN_TEXTS = 5
@@ -239,4 +239,5 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
     """The documents with a score of at least ``keep_at``; same columns."""
-    return scored(docs, train(docs, labels), "_score").filter(F.col("_score") >= keep_at).select(*docs.columns)
+    name = unused(docs, "_score")
+    return scored(docs, train(docs, labels), name).filter(F.col(name) >= keep_at).select(*docs.columns)

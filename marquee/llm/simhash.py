@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import batches, null_safe, settle
+from marquee.llm.common import batches, null_safe, settle, unused
 from marquee.llm.components import components
 
 SHINGLE, SEED, BITS = 3, 42, 64
@@ -159,9 +159,10 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     Of several rows with that doc_id the first by text stays. A row without doc_id cannot be named as a copy of
     another and stays.
     """
-    kept = near_groups(docs, shingle).filter("doc_id = component_id").select(null_safe("doc_id").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", null_safe("doc_id"))
+    key, place = unused(docs, "_key"), unused(docs, "_place")
+    kept = near_groups(docs, shingle).filter("doc_id = component_id").select(null_safe("doc_id").alias(key)).distinct()
+    keyed = docs.withColumn(key, null_safe("doc_id"))
     nameless = docs.filter("doc_id is null")
-    number = F.row_number().over(Window.partitionBy("_key").orderBy("text"))
-    named = keyed.filter("doc_id is not null").join(kept, "_key", "left_semi")
-    return named.withColumn("_place", number).filter("_place = 1").select(*docs.columns).unionByName(nameless)
+    number = F.row_number().over(Window.partitionBy(key).orderBy("text"))
+    named = keyed.filter("doc_id is not null").join(kept, key, "left_semi")
+    return named.withColumn(place, number).filter(F.col(place) == 1).select(*docs.columns).unionByName(nameless)

@@ -1,5 +1,7 @@
 """The pipeline: each stage on what the one before kept."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from marquee.llm import mixing, packing, pii, simhash
 
@@ -33,6 +35,30 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert packed.agg({"length": "sum"}).first()[0] == packing.pack(mixed).agg({"length": "sum"}).first()[0]
 
 
-def test_run_equals_stages(spark):
-    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    assert rows and all(r.offset + r.length <= 2048 for r in rows)
+def test_run_equals_stages(spark, tmp_path):
+    """The same pieces as by one stage after the other, and sequences without gap or overlap."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    rows = corpus_pipeline.run(spark, sf).collect()
+    pieces = lambda found: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found)
+    assert rows and pieces(rows) == pieces(docs.collect())
+    filled: dict = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert max(filled.values()) <= 2048
+
+
+def test_stages_leave_values_of_clashing_columns(spark):
+    """Every name that a stage uses for itself, as a column of the user's."""
+    names = "_score _key _place _copy _row _hash _source size target source_size n_copies taken copies cut spans base _text".split()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150)
+    docs = docs.select("*", *[F.concat(F.lit(f"{n} of "), F.col("doc_id")).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, "/root/testdata/sf0.001")
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in names)
