@@ -57,6 +57,8 @@ def build_postings(
     """
     titles = stemmed_titles(catalog)
     if lengths is None:
+        # A title has far more substrings than characters, so titles are spread before any is made.
+        titles = titles.repartition(int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         sized = titles.withColumn("size", F.explode(substring_lengths(F.col("text"))))
         ngram = F.explode(substrings(F.col("text"), F.col("size"))).alias("ngram")
         found = sized.select(ngram, "movie_id", "rank")
