@@ -234,6 +234,23 @@ def _search(wanted: Wanted, points, room, row, worth, best: _Best, full: np.ndar
         yield number[same], row[where[same]]
 
 
+def occurrences(wanted: Wanted, points: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number, position) of wanted texts that begin at the positions ``at``, which end well before ``points`` do."""
+    hashes = np.zeros(len(at), np.uint64)
+    for length, level in enumerate(wanted.levels, 1):
+        hashes = hashes * wanted.base + points[at + length - 1] + np.uint64(1)
+        mixed = hashes * _MIX
+        kept = level.goes_on(mixed)
+        at, hashes, mixed = at[kept], hashes[kept], mixed[kept]
+        if not len(at):
+            return
+        hit, place = level.ends(mixed)
+        where, same = at[hit], np.ones(len(hit), bool)
+        for i in range(length):
+            same &= points[where + i] == level.points[place, i]
+        yield place[same] + level.first, where[same]
+
+
 def _chunks(frames: Iterator[pa.RecordBatch], overlap: int) -> Iterator[tuple[list[str], _Titles]]:
     """Texts and titles of about ``CHUNK`` characters; a longer text is cut into pieces that overlap."""
     texts, rows, size = [], [], 0

@@ -2,8 +2,9 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from marquee.operators import index, probe
+from marquee.operators import distant, index, probe, search
 from tests.fixtures import titled
 
 
@@ -39,3 +40,18 @@ def test_a_position_of_a_title_is_no_row(spark):
         *(("lament", i) for i in (49, 48, 47)), *(("number 4", i) for i in (49, 48, 47)),
     }
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_two_edits_are_found_in_arrays(spark, monkeypatch):
+    """As by the join of positions, with titles that end inside a text and characters no edit brings in; no row a position."""
+    monkeypatch.setattr(distant, "POSITIONS", 50)
+    rng = random.Random(3)
+    rows = [("".join(rng.choices("abc é", k=rng.randint(1, 60))), rng.randint(0, 9)) for _ in range(150)]
+    catalog = titled(spark, rows).repartition(3)
+    texts = spark.createDataFrame([("".join(rng.choices("abc ", k=8 + i % 4)),) for i in range(40)], "text string").distinct()
+    size = search.batch_size(texts.withColumn("dist", F.lit(0)))
+    found = distant._probed(texts, catalog, size.longest)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {tuple(r) for r in found.collect()}
+    joined = distant._joined(texts, catalog, size).filter("visit <= 2").select("text", "movie_id", "rank", "visit")
+    assert got == {tuple(r) for r in joined.collect()} and {r[3] for r in got} >= {1, 2}
