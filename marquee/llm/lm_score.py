@@ -6,58 +6,59 @@ follows a start mark. Counts are over the whole corpus, without a cutoff. Two wa
 
 ``scores(docs)`` scores a corpus by itself, in word pairs. All its pairs are in the tables, so none backs off, and a pair
 seen once has count 1. ``seen_once`` tells how many words of a document end such a pair: no other text has it.
+``scores(docs, own=False)`` scores every document (row) by the counts of all the others: its own counts are taken off. A
+pair that no other document has backs off to the word, count(w) / number of words of the others, and ``backed_off`` tells
+how many words do. A word that no other document has scores as if it had occurred once.
 
-* pairs(part, u, w, doc, n): the word pairs of every document, with ``part`` a hash of the history u. All pairs of
-  one history are in one part, so its table of pair and history counts is made there, joined there to the very rows
-  it was made from, and the logarithms are summed per document there.
-* sums(part, doc, sum, n, once): what a part knows of a document, with ``part`` a hash of the document.
+* texts(part, doc_id, ws): the documents, with ``part`` a hash of the whole row. Both steps that read words read the same
+  shuffle of them: the first asks for counts, the second meets the answers and scores.
+* asked(part, pack, kind, ws, ns): the different words and word pairs of one part of the documents (now called a pack) with
+  their counts there, ``part`` a hash of the word or pair. A word or pair comes once from each pack at most, however often
+  it occurs, so no part gathers a hot one.
+* answers(pack, part, kind, ns): the counts in the whole corpus, in the order of the question.
 
-Rows of these relations travel packed: one row holds the columns, as arrays, of all pairs that a task sends to one
-part. Words are 64-bit hashes. The number of parts follows the number of words, so a part has a bounded mean size,
-and within a part pairs are worked on in slices. What alone would overfill a part is found first: histories and pairs
-that are 1 / (2 * parts) of all words or more. A first pass counts within each pack and sends on what has a fourth of
-that share there; the sums fall short by an eighth of all at most, so every such history and pair passes, and at most
-3 * parts do. A second pass counts exactly those. A heavy history's pairs are spread by their successors, with count(u)
-known; a heavy pair is scored where its document is read, and is never sent. So no part gathers a hot word or pair.
+Words are 64-bit hashes, pairs 64-bit hashes of both. Rows of asked and answers hold arrays: all that goes from one pack
+to one part. The number of parts follows the numbers of words and rows, so part and pack have a bounded mean size; only
+copies of one row, in id and text, are all in one pack, and one document is never split.
 
 ``scores_against(docs, corpus)`` scores any documents by the tables of any corpus, with n-grams of ``order`` words: joins
 of exploded n-grams with the count tables, salted, and the first order that has the n-gram decides. A word that the
 corpus lacks scores as if it had occurred once; ``backed_off`` counts the words whose full n-gram is unknown.
 
 Defined results: texts without words (null, empty) have n_words 0 and a null score. Rows that differ in id or text
-are scored apart; repeated rows have equal scores. An empty table gives an empty result; an empty corpus null scores.
+are scored apart; repeated rows have equal scores. A repeated row is a document of its own: without ``own``, its copies
+count. An empty table gives an empty result; an empty corpus, or no other document with words, null scores.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import WORD, batches, settle
+from marquee.llm.common import WORD
 from marquee.operators.skew import salted_join
 
 ORDER = 3
 BACKOFF = 0.4
 WORDS_PER_PART = 2_000_000
-WORDS_PER_PACK = 500_000
 WIDTH = 8
 START = 1
 
-PACK = pa.schema(
-    [("part", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("sizes", pa.binary()), ("us", pa.binary()),
-     ("ws", pa.binary()), ("ns", pa.binary()), ("sums", pa.binary()), ("runs", pa.binary())]
-)
-PACK_SQL = "part int, kind int, docs binary, sizes binary, us binary, ws binary, ns binary, sums binary, runs binary"
-PAIRS, SUMS = range(2)
-SLICES = 4
+ASKED = pa.schema(
+    [("part", pa.int32()), ("pack", pa.int32()), ("kind", pa.int32()), ("ws", pa.binary()), ("ns", pa.binary()), ("ends", pa.binary())]
+)
+ANSWERS = pa.schema([("pack", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("ns", pa.binary()), ("ends", pa.binary())])
+SCORES = pa.schema(
+    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64()), ("seen_once", pa.int64()), ("backed_off", pa.int64())]
+)
+PAIRS, WORDS = range(2)
 
 
 class _WordHashes(dict):
@@ -73,14 +74,6 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
-def _short(values: np.ndarray) -> bytes:
-    return values.astype("<u8").tobytes()
-
-
-def _long(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u8")
-
-
 def _pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     """A hash of both words; with one given, different others never meet."""
     return u * np.uint64(0xD6E8FEB86659FD93) + (w ^ w >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -90,58 +83,25 @@ def _part(values: np.ndarray, parts: int) -> np.ndarray:
     return ((values * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
 
 
-def _packs(
-    kind: int, part: np.ndarray, doc: np.ndarray | None, u: np.ndarray | None, w: np.ndarray, n: np.ndarray, sums: np.ndarray | None = None
-) -> pa.RecordBatch:
-    """One row per part; ``doc`` values come in runs and are kept as value and length."""
+def _small(values: np.ndarray) -> bytes:
+    """Counts in as few bytes as the largest needs, compressed; the first byte tells how many."""
+    top = int(values.max(initial=0))
+    width = next(n for n in (1, 2, 4, 8) if top < 1 << 8 * n)
+    return bytes([width]) + pa.compress(values.astype(f"<u{width}").tobytes(), codec="zstd", asbytes=True)
+
+
+def _of_small(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[1:], n * data[0], codec="zstd", asbytes=True), f"<u{data[0]}").astype(np.int64)
+
+
+def _table(rows: list[dict], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_pydict({name: [r[name] for r in rows] for name in schema.names}, schema)
+
+
+def _split(part: np.ndarray) -> list[np.ndarray]:
+    """The places of each part's entries, in order."""
     order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]) if len(order) else np.zeros(0, int)
-    rows = []
-    for at in np.split(order, cuts[1:]) if len(order) else []:
-        docs, sizes = b"", b""
-        if doc is not None:
-            d = doc[at]
-            heads = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-            docs, sizes = d[heads].tobytes(), np.diff(np.r_[heads, len(d)]).astype("<i4").tobytes()
-        us = b"" if u is None else _short(u[at])
-        values = b"" if sums is None else sums[at].tobytes()
-        rows.append((int(part[at[0]]), kind, docs, sizes, us, _short(w[at]), n[at].astype("<u4").tobytes(), values, b""))
-    return _batch(rows)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else [[] for _ in PACK]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PACK, strict=True)], schema=PACK)
-
-
-def _pair_packs(part: np.ndarray, doc: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """One row per part, ordered by history: each history once with its number of pairs, documents by their place in a list."""
-    order, _ = _grouped(w, u, part)
-    cuts = np.flatnonzero(part[order][1:] != part[order][:-1]) + 1
-    rows = []
-    for at in np.split(order, cuts) if len(order) else []:
-        names, places = np.unique(doc[at], return_inverse=True)
-        x = u[at]
-        heads = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-        runs = np.diff(np.r_[heads, len(x)]).astype("<u4").tobytes()
-        places = places.astype("<u2" if len(names) <= 1 << 16 else "<u4").tobytes()
-        rows.append((int(part[at[0]]), PAIRS, names.tobytes(), places, _short(x[heads]), _short(w[at]), n[at].astype("<u4").tobytes(), b"", runs))
-    return _batch(rows)
-
-
-def _unpack_pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc, u, w, n of all pairs of a part."""
-    of = lambda *names: zip(*(rows.column(c) for c in names), strict=True)
-    doc, u = [], []
-    for names, places, n in of("docs", "sizes", "ns"):
-        width = "<u2" if len(places.as_py()) * 2 == len(n.as_py()) else "<u4"
-        doc.append(np.frombuffer(names.as_py(), np.int64)[np.frombuffer(places.as_py(), width)])
-    doc = np.concatenate(doc)
-    for us, runs in of("us", "runs"):
-        u.append(np.repeat(_long(us.as_py()), np.frombuffer(runs.as_py(), "<u4")))
-    u = np.concatenate(u)
-    w = _long(b"".join(v.as_py() for v in rows.column("ws")))
-    return doc, u, w, np.frombuffer(b"".join(v.as_py() for v in rows.column("ns")), "<u4")
+    return np.split(order, np.flatnonzero(part[order][1:] != part[order][:-1]) + 1) if len(order) else []
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -150,208 +110,151 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(key.alias("key"), F.col("doc_id").cast("long"), text.cast("binary").alias("text"))
 
 
-def _collected(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(document key, word hash, whether first) of about WORDS_PER_PACK words at a time, whole documents each."""
-    keys, sizes, hashes, total = [], [], [], 0
-    for batch in batches(frames):
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words = text.as_py().split()
-            if not words:
-                continue
-            keys.append(key)
-            sizes.append(len(words))
-            hashes.append(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
-            total += len(words)
-            if total >= WORDS_PER_PACK:
-                yield _joined(keys, sizes, hashes)
-                keys, sizes, hashes, total = [], [], [], 0
-    if keys:
-        yield _joined(keys, sizes, hashes)
-
-
-def _joined(keys: list, sizes: list, hashes: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    first = np.zeros(sum(sizes), bool)
-    first[np.cumsum([0, *sizes[:-1]])] = True
-    return np.repeat(np.array(keys, np.int64), sizes), np.concatenate(hashes), first
-
-
-def _grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by the columns (the last one first), and where a new combination starts in that order."""
-    order = np.lexsort(columns)
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in columns:
-        s = c[order]
-        new[1:] |= s[1:] != s[:-1]
-    return order, np.flatnonzero(new)
-
-
 def _histories(w: np.ndarray, first: np.ndarray) -> np.ndarray:
     u = np.r_[np.uint64(0), w[:-1]]
     u[first] = START
     return u
 
 
-def _place(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each value is in an ordered table, and its place there."""
-    at = np.searchsorted(table, values)
-    known = at < len(table)
-    known[known] = table[at[known]] == values[known]
-    return known, at
-
-
-class Heavy(NamedTuple):
-    """Histories and pairs that may fill half of a part or more: hashes in order, and exact counts."""
-
-    us: np.ndarray
-    u_counts: np.ndarray
-    pairs: np.ndarray
-    pair_counts: np.ndarray
-
-
-def heavy_grams(texts: DataFrame, parts: int, total: int) -> Heavy:
-    """At most 3 * parts histories and 3 * parts pairs, among them all with total / (2 * parts) occurrences."""
-
-    def rows(kind: int, found: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        kinds = pa.array(np.full(len(found), kind, np.int32))
-        return pa.RecordBatch.from_arrays([kinds, pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "gram", "n"])
-
-    def frequent(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, w, first in _collected(frames):
-            u = _histories(w, first)
-            for kind, grams in enumerate((u, _pair(u, w))):
-                found, n = np.unique(grams, return_counts=True)
-                often = n * 8 * parts >= len(w)
-                yield rows(kind, found[often], n[often])
-
-    def summed(work) -> DataFrame:
-        frame = texts.select("key", "text").mapInArrow(work, "kind int, gram long, n long")
-        return frame.groupBy("kind", "gram").agg(F.sum("n").alias("n"))
-
-    def ordered(found: list, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        grams = np.array([r["gram"] for r in found if r["kind"] == kind], np.int64).view(np.uint64)
-        n = np.array([r["n"] for r in found if r["kind"] == kind], np.int64)
-        order = np.argsort(grams)
-        return grams[order], n[order]
-
-    found = summed(frequent).filter(F.col("n") * 8 * parts >= 3 * total).collect()
-    (us, _), (grams, _) = ordered(found, 0), ordered(found, 1)
-    if not len(us):
-        return Heavy(us, us.astype(np.int64), grams, grams.astype(np.int64))
-
-    def exact(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros(len(us), np.int64), np.zeros(len(grams), np.int64)]
-        for _, w, first in _collected(frames):
-            u = _histories(w, first)
-            for table, of, n in zip((us, grams), (u, _pair(u, w)), sums, strict=True):
-                known, at = _place(table, of)
-                n += np.bincount(at[known], minlength=len(n))
-        for kind, (table, n) in enumerate(zip((us, grams), sums, strict=True)):
-            yield rows(kind, table, n)
-
-    found = summed(exact).collect()
-    return Heavy(*ordered(found, 0), *ordered(found, 1))
-
-
-def pairs(texts: DataFrame, parts: int, heavy: Broadcast[Heavy]) -> DataFrame:
-    """Packs of pairs by part, and what heavy pairs add to their documents."""
-
-    def work(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = heavy.value
-        for doc, w, first in _collected(frames):
-            u = _histories(w, first)
-            order, heads = _grouped(w, u, doc)
-            n = np.diff(np.r_[heads, len(order)])
-            at = order[heads]
-            u, w, doc = u[at], w[at], doc[at]
-            spread, place = _place(known.us, u)
-            hot, pair = _place(known.pairs, _pair(u, w))
-            if hot.any():
-                logs = np.log(known.pair_counts[pair[hot]]) - np.log(known.u_counts[place[hot]])
-                once = np.where(known.pair_counts[pair[hot]] == 1, n[hot], 0)
-                yield _sum_packs(*_added([(doc[hot], n[hot] * logs, n[hot], once)]), parts)
-            u, w, doc, n, spread = (c[~hot] for c in (u, w, doc, n, spread))
-            yield _pair_packs(_part(np.where(spread, _pair(u, w), u), parts), doc, u, w, n)
-
-    return texts.select("key", "text").mapInArrow(work, PACK_SQL)
-
-
-def _unpack(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc, u, w, n of all packs of a part."""
-    join = lambda name: b"".join(v.as_py() for v in rows.column(name))
-    doc = np.repeat(np.frombuffer(join("docs"), np.int64), np.frombuffer(join("sizes"), "<i4"))
-    return doc, _long(join("us")), _long(join("ws")), np.frombuffer(join("ns"), "<u4")
-
-
-def _totals(n: np.ndarray, order: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Sum of ``n`` over each group, given back to every member."""
-    sums = np.add.reduceat(n[order], heads, dtype=np.int64) if len(heads) else np.zeros(0, np.int64)
-    out = np.empty(len(n), np.int64)
-    out[order] = np.repeat(sums, np.diff(np.r_[heads, len(order)]))
+class Read(NamedTuple):
+    """The words of some documents: number of words of each; document, hash and whether it is the first or last, of each word."""
+
+    sizes: np.ndarray
+    row: np.ndarray
+    w: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+
+def _read(texts: pa.ChunkedArray) -> Read:
+    hashes = []
+    for text in texts:
+        words = text.as_py().split()
+        hashes.append(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    w = np.concatenate([np.zeros(0, np.uint64), *hashes])
+    ends = np.cumsum(sizes)[sizes > 0]
+    first, last = np.zeros(len(w), bool), np.zeros(len(w), bool)
+    first[ends - sizes[sizes > 0]] = last[ends - 1] = True
+    return Read(sizes, np.repeat(np.arange(len(sizes)), sizes), w, first, last)
+
+
+def _asks(parts: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    def asks(key: tuple, rows: pa.Table) -> pa.Table:
+        """What a pack of documents has of each pair and word."""
+        read = _read(rows.column("ws"))
+        words, n = np.unique(read.w, return_counts=True)
+        ends = np.bincount(np.searchsorted(words, read.w[read.last]), minlength=len(words))
+        pairs, n_pairs = np.unique(_pair(_histories(read.w, read.first), read.w), return_counts=True)
+        out = []
+        for kind, grams, counts in ((PAIRS, pairs, n_pairs), (WORDS, words, n)):
+            part = _part(grams, parts)
+            for at in _split(part):
+                row = {"part": int(part[at[0]]), "pack": key[0].as_py(), "kind": kind, "ws": grams[at].tobytes(), "ns": _small(counts[at])}
+                out.append(row | {"ends": _small(ends[at]) if kind == WORDS else b""})
+        return _table(out, ASKED)
+
+    return asks
+
+
+def _answer(key: tuple, rows: pa.Table) -> pa.Table:
+    """The counts of a part's pairs and words, to every pack that asked."""
+    out = []
+    for kind in (PAIRS, WORDS):
+        asked = rows.filter(pa.array(np.array(rows.column("kind")) == kind)).select(["pack", "ws", "ns", "ends"]).to_pylist()
+        if not asked:
+            continue
+        sizes = [len(r["ws"]) // WIDTH for r in asked]
+        _, at = np.unique(np.concatenate([np.frombuffer(r["ws"], "<u8") for r in asked]), return_inverse=True)
+        totals = {}
+        for name in ("ns", "ends") if kind == WORDS else ("ns",):
+            n = np.concatenate([_of_small(r[name], size) for r, size in zip(asked, sizes, strict=True)])
+            sums = np.zeros(at.max() + 1, np.int64)
+            np.add.at(sums, at, n)
+            totals[name] = np.split(sums[at], np.cumsum(sizes)[:-1])
+        for i, r in enumerate(asked):
+            row = {"pack": r["pack"], "part": key[0].as_py(), "kind": kind, "ends": b""}
+            out.append(row | {name: _small(of[i]) for name, of in totals.items()})
+    pa.default_memory_pool().release_unused()
+    return _table(out, ANSWERS)
+
+
+def _met(grams: np.ndarray, parts: int, answers: list[dict], name: str = "ns") -> np.ndarray:
+    """The answered counts of the words or pairs that a pack asked for, in their order."""
+    part, out = _part(grams, parts), np.zeros(len(grams), np.int64)
+    found = {r["part"]: r[name] for r in answers}
+    for at in _split(part):
+        out[at] = _of_small(found[int(part[at[0]])], len(at))
     return out
 
 
-def _added(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One row per document: document, sum, words, words that end a pair seen once."""
-    doc, value, n, once = (np.concatenate(c) for c in zip(*found, strict=True))
-    who, at = np.unique(doc, return_inverse=True)
-    add = lambda c: np.bincount(at, c, len(who))
-    return who, add(value), add(n).astype(np.int64), add(once).astype(np.int64)
-
-
-def _sum_packs(who: np.ndarray, value: np.ndarray, n: np.ndarray, once: np.ndarray, parts: int) -> pa.RecordBatch:
-    return _packs(SUMS, _part(who.view(np.uint64), parts), who, None, once.astype(np.uint64), n, value)
-
+def _times(keys: np.ndarray) -> np.ndarray:
+    """How often each value occurs, at every place of it."""
+    _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def _scored(parts: int, total: int, starts: int, own: bool) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    def scored(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        """The documents of a pack by the counts of the corpus."""
+        read = _read(rows.column("ws"))
+        answers = answers.select(["part", "kind", "ns", "ends"]).to_pylist()
+        of_pairs, of_words = ([r for r in answers if r["kind"] == kind] for kind in (PAIRS, WORDS))
+        words, wid = np.unique(read.w, return_inverse=True)
+        pairs, pid = np.unique(_pair(_histories(read.w, read.first), read.w), return_inverse=True)
+        pair = _met(pairs, parts, of_pairs)[pid]
+        word = _met(words, parts, of_words)
+        before = lambda c, at_start: np.where(read.first, at_start, np.r_[0, c[:-1]] if len(c) else c)
+        history = before((word - _met(words, parts, of_words, "ends"))[wid], starts)
+        once, backed = pair == 1, np.zeros(len(pair), bool)
+        if own:
+            value = np.log(pair) - np.log(history)
+        else:
+            word = word[wid]
+            mine = _times(read.row * len(words) + wid)
+            ends = np.zeros(len(read.sizes), np.int64)
+            ends[read.row[read.last]] = wid[read.last]
+            pair = pair - _times(read.row * len(pairs) + pid)
+            history = history - before(mine - (ends[read.row] == wid), 1)
+            backed = pair == 0
+            others = np.maximum(total - read.sizes[read.row], 1)
+            value = np.where(
+                backed,
+                math.log(BACKOFF) + np.log(np.maximum(word - mine, 1)) - np.log(others),
+                np.log(np.maximum(pair, 1)) - np.log(np.maximum(history, 1)),
+            )
+        add = lambda c: np.bincount(read.row, c, len(read.sizes))
+        known = (read.sizes > 0) & (own | (total > read.sizes))
+        score = np.divide(add(value), read.sizes, out=np.zeros(len(known)), where=known)
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_arrays(
+            [
+                rows.column("doc_id"),
+                pa.array(read.sizes),
+                pa.array(score, mask=~known),
+                *(pa.array(add(c).astype(np.int64)) for c in (once, backed)),
+            ],
+            schema=SCORES,
+        )
 
-def _unpack_sums(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    doc, _, once, n = _unpack(rows)
-    value = np.frombuffer(b"".join(v.as_py() for v in rows.column("sums")), np.float64)
-    return doc, value, n, once
+    return scored
 
 
 def _n_words() -> Column:
     return F.regexp_count(F.col("text").cast("string"), F.lit(WORD)).cast("long")
 
 
-def scores(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, score, seen_once) of every row by the pairs of all rows; score is the mean natural logarithm."""
+def scores(docs: DataFrame, own: bool = True) -> DataFrame:
+    """(doc_id, n_words, score, seen_once, backed_off) of every row by the words of all rows, or without ``own`` of all others."""
     texts = _texts(docs)
-    total = texts.agg(F.sum(_n_words())).first()[0] or 0
-    parts = max(1, -(-total // WORDS_PER_PART))
-    heavy = docs.sparkSession.sparkContext.broadcast(heavy_grams(texts, parts, total))
-
-    def seen(key: tuple, rows: pa.Table) -> pa.Table:
-        """The pairs of a part meet their counts; sums that came along are added to."""
-        kinds = np.array(rows.column("kind"))
-        found = [_unpack_sums(rows.filter(pa.array(kinds == SUMS)))]
-        rows = rows.filter(pa.array(kinds == PAIRS))
-        doc, u, w, n = _unpack_pairs(rows) if rows.num_rows else [np.zeros(0, np.uint64)] * 4
-        slices = (u * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % np.uint64(SLICES)
-        for number in range(SLICES):
-            at = np.flatnonzero(slices == number)
-            d, x, y, k = doc[at].view(np.int64), u[at], w[at], n[at]
-            pair = _totals(k, *_grouped(y, x))
-            history = _totals(k, *_grouped(x))
-            late, place = _place(heavy.value.us, x)
-            history[late] = heavy.value.u_counts[place[late]]
-            found.append(_added([(d, k * (np.log(pair) - np.log(history)), k, np.where(pair == 1, k, 0))]))
-        pa.default_memory_pool().release_unused()
-        return pa.Table.from_batches([_sum_packs(*_added(found), parts)])
-
-    out = pa.schema([("key", pa.int64()), ("value", pa.float64()), ("n", pa.int64()), ("once", pa.int64())])
-
-    def total_of(key: tuple, rows: pa.Table) -> pa.Table:
-        """All that is known of the documents of a part."""
-        return pa.Table.from_arrays([pa.array(c) for c in _added([_unpack_sums(rows)])], schema=out)
-
-    first = pairs(texts, parts, heavy).groupBy("part").applyInArrow(seen, PACK_SQL)
-    sums = first.groupBy("part").applyInArrow(total_of, "key long, value double, n long, once long")
-    # A repeated row was counted as often as it occurs, in all three sums alike.
-    return texts.select("key", "doc_id", _n_words().alias("n_words")).join(sums, "key", "left").select(
-        "doc_id",
-        "n_words",
-        (F.col("value") / F.col("n")).alias("score"),
-        F.coalesce((F.col("once") * F.col("n_words") / F.col("n")).cast("long"), F.lit(0)).alias("seen_once"),
+    counted = texts.select(_n_words().alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.count("*"))
+    total, starts, rows = counted.first()
+    parts = max(1, -(-(total + rows) // WORDS_PER_PART))
+    packs = texts.select(F.pmod("key", F.lit(parts)).cast("int").alias("part"), "doc_id", F.col("text").alias("ws"))
+    asked = packs.groupBy("part").applyInArrow(_asks(parts), "part int, pack int, kind int, ws binary, ns binary, ends binary")
+    answers = asked.groupBy("part").applyInArrow(_answer, "pack int, part int, kind int, ns binary, ends binary")
+    return packs.groupBy("part").cogroup(answers.groupBy("pack")).applyInArrow(
+        _scored(parts, total, starts, own), "doc_id long, n_words long, score double, seen_once long, backed_off long"
     )
 
 

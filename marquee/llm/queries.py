@@ -37,7 +37,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lm_score.scores(table(spark, sf_dir, "documents").select("doc_id", "text"), own=False)
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

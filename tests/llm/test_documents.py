@@ -267,6 +267,76 @@ def test_backoff_gathers_no_hot_word_or_pair(spark, monkeypatch):
     assert [r.score for r in rows] == pytest.approx([math.log(1 / 10_000) / 4] * 10_000)
 
 
+def plain_left_out(docs):
+    """(n_words, score, seen_once, backed_off) of every row by the counts of all other rows."""
+    own = [(Counter(zip([None, *w], w, strict=False)), Counter(w), Counter([None, *w][:-1])) for w in (brute.words(t) for _, t in docs)]
+    pair, word, history = Counter(), Counter(), Counter()
+    for counts in own:
+        for total_of, of in zip((pair, word, history), counts, strict=True):
+            total_of.update(of)
+    total = sum(word.values())
+    for pairs, words, heads in own:
+        n = sum(words.values())
+        value = 0.0
+        for (a, b), k in pairs.items():
+            if pair[a, b] > k:
+                value += k * math.log((pair[a, b] - k) / (history[a] - heads[a]))
+            elif total > n:
+                value += k * math.log(0.4 * max(1, word[b] - words[b]) / (total - n))
+        score = value / n if n and total > n else None
+        yield n, score, sum(pair[g] == 1 for g in pairs), sum(k for g, k in pairs.items() if pair[g] == k)
+
+
+def same_left_out(rows, docs):
+    order = lambda r: (r[0], r[1], r[2] if r[2] is not None else 1)
+    want = sorted(((i, *v) for (i, _), v in zip(docs, plain_left_out(docs), strict=True)), key=order)
+    got = sorted(((r.doc_id, r.n_words, r.score, r.seen_once, r.backed_off) for r in rows), key=order)
+    assert [(*g[:2], *g[3:]) for g in got] == [(*v[:2], *v[3:]) for v in want]
+    assert [g[2] for g in got] == [v[2] if v[2] is None else pytest.approx(v[2]) for v in want]
+    return got
+
+
+@pytest.mark.parametrize("part", [4_000_000, 3_000])
+def test_backoff_to_words_of_others(spark, monkeypatch, part):
+    monkeypatch.setattr(lm_score, "WORDS_PER_PART", part)
+    # New pairs of known words, words nobody else has, a copy, a row that occurs twice, a known word that only ends texts.
+    docs = [*corpus(spark)[:300], *EDGE, (20_001, "one x two nobody"), (20_002, "two one one last"), (20_003, "two one one last")]
+    docs += [(20_004, "a b last"), (20_005, "c last"), (20_006, "the " * 3000 + "one")]
+    got = same_left_out(lm_score.scores(frame(spark, docs), own=False).collect(), docs)
+    assert {g[4] for g in got if g[0] in (20_002, 20_003)} == {0}
+    assert all(g[4] > 0 for g in got if g[0] in (20_001, 20_005))
+
+
+def test_backoff_of_one_document_and_of_the_query(spark):
+    assert [tuple(r) for r in lm_score.scores(frame(spark, [(1, "a b a b")]), own=False).collect()] == [(1, 4, None, 2, 4)]
+    rows = queries.op5_backoff_scores(spark, SF).collect()
+    same_left_out(rows, corpus(spark))
+    assert sum(r.backed_off for r in rows) > 0
+
+
+def test_backoff_gathers_no_hot_word_it_backs_off_to(spark, monkeypatch):
+    from pyspark.sql.group import GroupedData
+
+    monkeypatch.setattr(lm_score, "WORDS_PER_PART", 3_000)
+    largest, apply = [], GroupedData.applyInArrow
+
+    def measured(self, *args):
+        entries = self._df.groupBy("part").agg(F.sum(F.length("ws") / lm_score.WIDTH).alias("n"))
+        largest.append(entries.agg(F.max("n")).first()[0])
+        return apply(self, *args)
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", measured)
+    # Every document backs off to "cold" and "last", a fourth of all words each, one of them always at the end.
+    docs = [(i, f"x{i} cold y{i} last") for i in range(10_000)]
+    same_left_out(lm_score.scores(frame(spark, docs), own=False).collect(), docs)
+    assert max(largest) <= 6_000
+    # A heavy pair, hot in one document alone, and a heavy word that is a history all over.
+    largest.clear()
+    docs = [(i, " ".join(f"hot a{(20 * i + j) % 2000} z{i}_{j}" for j in range(20))) for i in range(400)] + [(400, "hot cold " * 4000)]
+    same_left_out(lm_score.scores(frame(spark, docs), own=False).collect(), docs)
+    assert max(largest) <= 6_000
+
+
 def test_backoff_by_another_corpus(spark):
     known = [(1, "a b c a b d"), (2, "a b c"), (3, None), (3, "a b c")]
     docs = [(1, "a b c"), (2, "b c x a b e"), (3, None), (4, " "), (5, "c a"), (5, "c a"), (6, "the " * 500 + "b")]
